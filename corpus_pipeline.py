@@ -1,11 +1,25 @@
-"""A corpus pipeline from the operators of ``pulsegrid.llm``: documents in, packed pieces out."""
+"""A corpus pipeline from the operators of ``pulsegrid.llm``: documents in, packed pieces out.
+
+Every stage takes (spark, docs, sf_dir), works on all rows of docs and returns a DataFrame. All but the last
+return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pulsegrid.llm import mixing, packing, pii, simhash, toxicity
+from pulsegrid.llm.queries import tokenizer_path, toxicity_machine
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity machine predicts toxic go; all others stay as they are.
 
-from pulsegrid.llm import simhash
-from pulsegrid.llm.common import keep
+    The machine sees labels through documents that are not held out only; what it decides on is each text.
+    """
+    machine, rate = toxicity_machine(spark, sf_dir)
+    return toxicity.keep_clean(docs, machine, rate)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,12 +27,46 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.deduplicate(docs)
 
 
-STAGES = [("simhash_near_dedup", near_duplicates)]
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data becomes the name of its kind; no document goes."""
+    return pii.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it, from never to three times."""
+    return mixing.apply_mix(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 1024 tokens."""
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("simhash_near_dedup", near_duplicates),
+    ("pii", redact),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
+
+#: Most stages are beyond SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to documents; between stages, rows are written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for _, stage in STAGES:
-        docs = keep(stage(spark, docs, sf_dir))
+    folder = stage_folder(spark)
+    for at, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if at + 1 < len(STAGES):
+            docs.write.mode("overwrite").parquet(path := f"{folder}/{at}_{name}")
+            docs = spark.read.parquet(path)
     return docs
+
+
+def stage_folder(spark: SparkSession) -> str:
+    """A new folder in the session's shared ``spark.checkpoint.dir``, or under the warehouse where unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_stages"
+    return f"{base.rstrip('/')}/corpus_pipeline_{spark.range(1).select(F.expr('uuid()')).first()[0]}"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from pathlib import Path
 from typing import Any
 
 import pyarrow as pa
@@ -14,6 +15,17 @@ from pyspark.sql import functions as F
 STEP_ROWS = 256
 
 
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it.
+
+    A cluster whose machines do not share that folder gets the package with ``--py-files`` instead.
+    """
+    root = str(Path(__file__).resolve().parent.parent.parent)
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in paths.split(":"):
+        spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{paths}".rstrip(":")
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the folder that all executors share.
 
@@ -34,6 +46,7 @@ def map_rows(
     ``make(*args)`` runs once in a task and returns a function from the columns' value lists to a list of
     result tuples in the order of ``schema``. A worker holds at most STEP_ROWS input rows as Python values.
     """
+    ship(df.sparkSession)
     picked = df.select(*columns)
     arrow = _arrow_schema(df.sparkSession, schema)
 

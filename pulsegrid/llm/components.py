@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import keep
+from pulsegrid.llm.common import keep, ship
 
 MAX_ROUNDS = 60
 #: Edges that a task contracts at once, which bounds its memory.
@@ -39,6 +39,7 @@ def contract(edges: DataFrame) -> DataFrame:
         if rows:
             yield _stars(held)
 
+    ship(edges.sparkSession)
     return edges.select("a", "b").mapInArrow(run, "a long, b long")
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pulsegrid.llm.common import keep, map_rows
+from pulsegrid.llm.common import keep, map_rows, ship
 
 SIZE = 1024
 CLOSING_ID = 0
@@ -220,6 +220,7 @@ def _placed(df: DataFrame, at: dict[str, np.ndarray], first: int, span: int) ->
             extra = [first + at["sequence"][i] + k // at["times"][i], at["offset"][i] + length * (k % at["times"][i])]
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x) for x in extra)], names=[*names, "sequence_id", "offset"])
 
+    ship(df.sparkSession)
     schema = ", ".join([f"{n} {df.schema[n].dataType.simpleString()}" for n in names] + ["sequence_id long", "offset long"])
     return df.mapInArrow(run, schema)
 

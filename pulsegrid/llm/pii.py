@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.llm.common import STEP_ROWS, map_rows
+from pulsegrid.llm.common import STEP_ROWS, map_rows, ship
 
 KINDS = ("email", "ip", "card", "phone")
 OUTSIDE = 0
@@ -401,6 +401,7 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
 
     Columns, their order and the number of rows stay; null texts stay null.
     """
+    ship(docs.sparkSession)
     field = trained()
 
     @F.pandas_udf(T.StringType())
