@@ -339,7 +339,7 @@ def _plausible(kind: str, text: str) -> bool:
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts) and not any(c.isalpha() for c in text)
     low = text.lower()
     if re.search(r"@|[\[(] ?at ?[\])]", low):
-        return bool(re.search(r"[\w\])] ?(?:\.|\bdot\b)", low))
+        return bool(re.search(r"[\w\])] ?[\[(]? ?(?:\.|\bdot\b)", low))
     return bool(re.search(r"\bat\b.*\bdot\b", low))
 
 
