@@ -55,7 +55,7 @@ def truthy(x: Column) -> Column:
 
 def valid_npi(x: Column) -> Column:
     """Ten digits whose Luhn sum, after the prefix 80840, holds."""
-    return F.coalesce(x.rlike("^[0-9]{10}$") & F.luhn_check(F.concat(F.lit("80840"), x)), F.lit(False))
+    return F.coalesce(x.rlike("^[0-9]{10}$") & F.call_function("luhn_check", F.concat(F.lit("80840"), x)), F.lit(False))
 
 
 def npi_check_digit(first_nine: Column) -> Column:
