@@ -306,9 +306,10 @@ def gee(df: DataFrame, design: list[Column], target: Column, cluster: str, binom
             per = _cluster_sums(rows, names, "_c", mean, binomial).persist()
             if exchangeable:
                 # moment estimator: mean product of residual pairs within clusters over the dispersion
-                r = per.agg(F.sum("ee").alias("ee"), F.sum("n").alias("n"), F.sum((F.col("e") * F.col("e") - F.col("ee")) / 2).alias("pairs"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("np")).first()
+                r = per.agg(F.sum("ee").alias("ee"), F.sum("n").alias("n"), F.sum((F.col("e") * F.col("e") - F.col("ee")) / 2).alias("pairs"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("np"), F.max("n").alias("most")).first()
                 phi = r.ee / max(r.n - k, 1)
-                alpha = min(max(r.pairs / max(r.np - k, 1) / phi, -0.5 / max(r.n, 1)), 0.99) if r.np and phi > 0 else 0.0
+                lowest = -0.99 / max(r.most - 1, 1)  # below this the correlation matrix of the largest cluster is singular
+                alpha = min(max(r.pairs / max(r.np - k, 1) / phi, lowest), 0.99) if r.np and phi > 0 else 0.0
             score, bread, meat = totals(per, alpha)
             per.unpersist()
             if fixed is not None:
