@@ -508,3 +508,157 @@ def split_groups(spark, sf):
 
 
 
+
+
+# ---- text and number functions over the tables ----
+
+
+@register("str10_npi_check_digit", "SELECT c_custkey, CASE WHEN t % 10 = 0 THEN 0 ELSE 10 - t % 10 END AS digit FROM (SELECT c_custkey, (SELECT CAST(sum(CASE WHEN i % 2 = 0 THEN CASE WHEN d * 2 > 9 THEN d * 2 - 9 ELSE d * 2 END ELSE d END) AS BIGINT) FROM (SELECT i, CAST(substr(reverse('80840' || lpad(CAST(c_custkey AS VARCHAR), 9, '0')), i + 1, 1) AS INTEGER) AS d FROM range(0, 14) AS r(i))) AS t FROM customer)")
+def npi_check_digit(spark, sf):
+    nine = F.lpad(F.col("c_custkey").cast("string"), 9, "0")
+    return Domain(spark, sf).table("customer").select("c_custkey", C.npi_check_digit(nine).cast("long").alias("digit"))
+
+
+@register("str9_truthy_and_trim", "SELECT event_id, lower(trim(CASE WHEN event_id % 4 = 0 THEN ' Yes ' WHEN event_id % 4 = 1 THEN '1' ELSE event_type END)) IN ('1', 'true', 'yes') AS truthy, nullif(trim(CASE WHEN event_id % 3 = 0 THEN '  ' ELSE event_type END), '') AS trimmed FROM events")
+def truthy(spark, sf):
+    k, kind = F.col("event_id"), F.col("event_type")
+    text = F.when(k % 4 == 0, " Yes ").when(k % 4 == 1, "1").otherwise(kind)
+    return Domain(spark, sf).table("events").select("event_id", C.truthy(text).alias("truthy"), C.blank_to_null(F.when(k % 3 == 0, "  ").otherwise(kind)).alias("trimmed"))
+
+
+@register("math10_seeded_draws")
+def seeded_draws(spark, sf):
+    key = F.concat(F.lit("seed:"), F.col("c_custkey"))
+    return Domain(spark, sf).table("customer").select("c_custkey", C.unit_interval(key).alias("u"), C.seeded_index(key, 2).alias("choice"))
+
+
+@register("math9_ramp", "SELECT event_id, round(CASE WHEN event_id % 1200 < 300 OR event_id % 1200 >= 900 THEN 0 ELSE least(1.0, (event_id % 1200 - 300) / 300.0) END, 6) AS share FROM events")
+def ramp(spark, sf):
+    return show(Domain(spark, sf).table("events").select("event_id", C.ramp(F.col("event_id") % 1200, 300, 600, 900).alias("share")), ["event_id", "share"])
+
+
+@register("dt12_age_at_least", "SELECT patient_id, date_part('year', DATE '2024-06-15') - date_part('year', birth_date) - CASE WHEN (date_part('month', birth_date), date_part('day', birth_date)) > (6, 15) THEN 1 ELSE 0 END >= 65 AS older FROM (SELECT concat('c', CAST(c_custkey AS VARCHAR)) AS patient_id, CAST(DATE '1940-01-01' + CAST(c_custkey % 18000 AS INTEGER) AS DATE) AS birth_date FROM customer)")
+def age_at_least(spark, sf):
+    return Domain(spark, sf).patients.select("patient_id", C.age_at_least(F.col("birth_date"), F.lit("2024-06-15").cast("date"), 65).alias("older"))
+
+
+@register("map1_code_names", sql("SELECT loinc_code, observation_type, count(*) AS n FROM candidates GROUP BY 1, 2", "candidates"))
+def code_names(spark, sf):
+    return Domain(spark, sf).candidates.groupBy("loinc_code", "observation_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("json1_parsed_props", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def parsed_props(spark, sf):
+    return Domain(spark, sf).table("events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+@register("src3_decoded_records", "SELECT event_id, CAST(user_id AS VARCHAR) AS patient_id, event_id % 10 = 0 AS failed FROM events")
+def decoded_records(spark, sf):
+    body = F.to_json(F.struct(F.col("user_id").cast("string").alias("patient_id"), F.col("value").cast("string").alias("heart_rate")))
+    data = F.when(F.col("event_id") % 10 == 0, "***").otherwise(F.base64(F.encode(body, "UTF-8")))
+    e = Domain(spark, sf).table("events").select("event_id", F.col("user_id").cast("string").alias("u"), data.alias("data"))
+    out = ingest.decode_records(e)
+    return out.select("event_id", F.coalesce("event.patient_id", "u").alias("patient_id"), F.col("error").isNotNull().alias("failed"))
+
+
+@register("prj10_quarantine_replay", sql("SELECT observation_id, patient_id, 'quarantine_replay' AS source, strftime(effective_datetime, '%Y-%m-%d %H:%M:%S') AS event_timestamp, round(CASE WHEN loinc_code = '8867-4' THEN value END, 6) AS heart_rate, trim(patient_id) = '' OR effective_datetime IS NULL AS refused FROM (SELECT * FROM classified WHERE rejection_reason IS NOT NULL)", "classified").replace("trim(patient_id) = '' OR effective_datetime IS NULL", "effective_datetime IS NULL"))
+def quarantine_replay(spark, sf):
+    rejected = ingest.split(Domain(spark, sf).candidates)[1].withColumn("effective_datetime", F.date_format("effective_datetime", STAMP))
+    out = ingest.replay_events(rejected).withColumn("refused", F.col("error").isNotNull())
+    return show(out, ["observation_id", "patient_id", "source", "event_timestamp", "heart_rate", "refused"])
+
+
+@register("prj11_observations", sql("SELECT loinc_code, count(*) AS n, round(sum(value), 3) AS total FROM (" + " UNION ALL ".join(f"SELECT '{BY_FIELD[f].loinc}' AS loinc_code, " + ("CAST(NULL AS DOUBLE)" if BY_FIELD[f].ordinal else f"round({f}, 1)") + f" AS value FROM wide WHERE {f} IS NOT NULL" for f in FIELDS if not f.endswith("_bp")) + " UNION ALL SELECT '85354-9', round(systolic_bp, 1) FROM wide WHERE systolic_bp IS NOT NULL AND diastolic_bp IS NOT NULL) GROUP BY 1", "wide"))
+def observations(spark, sf):
+    out = ingest.observations_of(Domain(spark, sf).wide.select("event_id", *FIELDS))
+    return show(out.groupBy("loinc_code").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")), ["loinc_code", "n", "total"], 3)
+
+
+@register("join13_latest_predictions_report")
+def predictions_report(spark, sf):
+    d = Domain(spark, sf)
+    rows = d.features.select("encounter_key", "patient_key", (F.col("feature_observation_count") / 100.0).alias("deterioration_probability"))
+    rows = rows.select(F.lit("m1").alias("model_version"), "encounter_key", "patient_key", F.lit("test").alias("data_split"), F.lit(0).alias("actual_label"), "deterioration_probability", F.lit(1).alias("predicted_label"), F.lit(0.5).alias("decision_threshold"), F.lit("f").alias("feature_schema_version"), F.lit("l").alias("label_definition_version"), F.lit("x").alias("dataset_fingerprint"), F.lit("2024-01-01").alias("scored_at"))
+    return feats.latest_predictions_report(feats.predictions_latest(rows, "m1"), star.dim_patient(d.staged), d.encounters, d.features)
+
+
+@register("stm5_window_scores", sql(f"SELECT encounter_id, count(*) AS readings, round(avg(heart_rate), 6) AS heart_rate_mean, round(stddev_samp(heart_rate), 6) AS heart_rate_stddev, CASE WHEN TIMESTAMP '2024-01-09 00:00:00' < any_value(cutoff) + INTERVAL 60 SECOND THEN 'window_open' ELSE 'scored' END AS status FROM (SELECT *, min(t) OVER (PARTITION BY encounter_id) + INTERVAL 10080 MINUTE AS cutoff FROM (SELECT *, row_number() OVER (PARTITION BY encounter_id, t, observation_id ORDER BY arrival DESC) AS r FROM ({_EVENTS}) WHERE encounter_id IS NOT NULL AND coalesce(source, '') <> 'load_test' AND observation_id IS NOT NULL) WHERE r = 1) WHERE t < cutoff GROUP BY 1", "wide"))
+def window_scores(spark, sf):
+    from pulsegrid.functions.catalog import FEATURES
+
+    readings = state.window_readings(_events(Domain(spark, sf)).where("observation_id is not null"))
+    out = state.window_scores(readings, F.lit("2024-01-09 00:00:00").cast("timestamp"), 10080, F.col("heart_rate_mean") / 250, "m1", FEATURES)
+    return show(out, ["encounter_id", "readings", "heart_rate_mean", "heart_rate_stddev", "status"])
+
+
+@register("stm12_measured_at", sql(f"SELECT patient_id, strftime(max(t), '{SQL_STAMP}') AS event_timestamp FROM ({_EVENTS}) GROUP BY 1", "wide"))
+def measured_at(spark, sf):
+    return show(access.with_measured_at(state.merged_vitals(_events(Domain(spark, sf)))), ["patient_id", "event_timestamp"])
+
+
+@register("stm13_interval_gate", "SELECT event_id, user_id FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id, s // 86400 ORDER BY s, event_id) AS r FROM (SELECT event_id, user_id, date_diff('second', TIMESTAMP '2024-01-01', date_trunc('second', ts)) * 1000 + event_id % 1000 AS s FROM events)) WHERE r = 1".replace("s // 86400", "s // 86400000"))
+def interval_gate(spark, sf):
+    since = C.seconds_between(F.lit("2024-01-01").cast("timestamp"), F.date_trunc("SECOND", F.col("ts").cast("timestamp")))
+    e = Domain(spark, sf).table("events").select("event_id", "user_id", (since * 1000 + F.col("event_id") % 1000).alias("s"))
+    return ranking.gate_interval(e.withColumn("s", F.col("s") + F.col("event_id") / 1e9), "user_id", "s", 86_400_000).select("event_id", "user_id")
+
+
+@register("stm15_connections", "SELECT event_id, k AS connection_id FROM events JOIN (SELECT c_custkey AS u, 'conn' || CAST(c_custkey % 17 AS VARCHAR) AS k FROM customer) s ON s.u = user_id")
+def connections(spark, sf):
+    d = Domain(spark, sf)
+    subscriptions = d.table("customer").select(F.col("c_custkey").alias("patient_id"), F.concat(F.lit("conn"), F.col("c_custkey") % 17).alias("connection_id"))
+    events = d.table("events").select("event_id", F.col("user_id").alias("patient_id"))
+    return access.connections_for(events, subscriptions).select("event_id", "connection_id")
+
+
+@register("stm9_replay_split", "SELECT event_id, event_id % 3 >= 1 AS is_terminal FROM events")
+def replay_split(spark, sf):
+    raw = F.when(F.col("event_id") % 3 == 0, '{"observation_id":"a"}').when(F.col("event_id") % 3 == 1, '{"observation_id":"a","_replay_attempt":1}').otherwise("broken")
+    return state.replay(Domain(spark, sf).table("events").select("event_id", raw.alias("raw"))).select("event_id", "is_terminal")
+
+
+@register("agg1_encounter_spans", sql(f"SELECT trim(encounter_id) AS encounter_id, strftime(min(effective_datetime), '{SQL_STAMP}') AS first_at, strftime(max(effective_datetime), '{SQL_STAMP}') AS last_at FROM staged GROUP BY 1", "staged"))
+def encounter_spans(spark, sf):
+    s = Domain(spark, sf).staged
+    return show(s.groupBy(F.trim("encounter_id").alias("encounter_id")).agg(F.min("effective_datetime").alias("first_at"), F.max("effective_datetime").alias("last_at")), ["encounter_id", "first_at", "last_at"])
+
+
+@register("agg19_nearest_rank_whole_table", "SELECT f AS fraction, l[CAST(floor((len(l) - 1) * f) AS BIGINT) + 1] AS value FROM (SELECT list_sort(list(value)) AS l FROM events), (VALUES (0.5), (0.95), (0.99)) AS q(f)")
+def nearest_rank(spark, sf):
+    return ranking.distributed_nearest_rank(Domain(spark, sf).table("events").select("value"), "value", [0.5, 0.95, 0.99])
+
+
+@register("agg20_value_sums", sql("SELECT loinc_code, round(sum(CAST(value AS DECIMAL(18, 4))), 4) AS total FROM processed GROUP BY 1", "processed"))
+def value_sums(spark, sf):
+    return show(Domain(spark, sf).processed.groupBy("loinc_code").agg(F.sum(F.col("value").cast("decimal(18,4)")).alias("total")), ["loinc_code", "total"], 4)
+
+
+@register("agg18_dataset_fingerprint")
+def dataset_fingerprint(spark, sf):
+    from pulsegrid.operators.model import dataset_fingerprint as fingerprint
+
+    return fingerprint(Domain(spark, sf).training.select("encounter_key", "patient_key", "data_split"), ("encounter_key", "patient_key", "data_split"))
+
+
+@register("ml1_trained_coefficients")
+def trained_coefficients(spark, sf):
+    from pulsegrid.functions.catalog import MODEL_FEATURES
+    from pulsegrid.operators import model
+
+    d = Domain(spark, sf).features.withColumns({"data_split": F.when(F.pmod(F.xxhash64("encounter_key"), F.lit(4)) == 0, "test").otherwise("train"), "feature_schema_version": F.lit("f"), "deterioration_proxy_label": F.pmod(F.xxhash64("encounter_key", F.lit(1)), F.lit(2)).cast("int")})
+    fitted = model.train(d.select("encounter_key", "patient_key", "data_split", "feature_schema_version", "label_definition_version", "deterioration_proxy_label", *MODEL_FEATURES))
+    return model.scoring_frame(spark, fitted["parameters"])
+
+
+@register("st8_group_bootstrap")
+def group_bootstrap(spark, sf):
+    rows = Domain(spark, sf).predictions.select("quality", "patient_key", "deterioration_probability", (F.col("doc_id") % 17 / 17.0).alias("other"))
+    found = stats.group_bootstrap(rows, "quality", ["deterioration_probability", "other"], "patient_key", "other", 40, 7)
+    return spark.createDataFrame([(n, *v) for n, v in found["intervals"].items()], "score string, low double, high double")
+
+
+@register("st3_gee")
+def gee(spark, sf):
+    rows = Domain(spark, sf).predictions.select("quality", "patient_key", "deterioration_probability")
+    fit = stats.gee(rows, [F.lit(1.0), F.col("deterioration_probability")], F.col("quality"), "patient_key")
+    return spark.createDataFrame([(i, float(b), float(fit.robust[i, i])) for i, b in enumerate(fit.beta)], "term int, estimate double, variance double")
