@@ -9,6 +9,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -263,6 +264,36 @@ def _cluster_sums(df: DataFrame, names: list[str], cluster: str, mean: Column, b
     return rows.groupBy(cluster).agg(*aggs)
 
 
+def _scores(per: DataFrame, alpha: float, k: int, upper: list[tuple[int, int]]) -> DataFrame:
+    """Each cluster's score u and the upper triangle b of its sensitivity."""
+    c = F.lit(alpha) / (1.0 + (F.col("n") - 1) * F.lit(alpha))
+    g = [((F.col(f"g{i}") - c * F.col(f"d{i}") * F.col("e")) / (1.0 - alpha)).alias(f"u{i}") for i in range(k)]
+    h = [((F.col(f"h{i}_{j}") - c * F.col(f"d{i}") * F.col(f"d{j}")) / (1.0 - alpha)).alias(f"b{i}_{j}") for i, j in upper]
+    return per.select(*g, *h)
+
+
+def _reduced_meat(scores: DataFrame, inverse: np.ndarray, upper: list[tuple[int, int]]) -> np.ndarray:
+    """The sum of outer products of bias-reduced scores (Mancl and DeRouen, 2001).
+
+    A cluster's residuals are divided by one less its leverage; by Woodbury's identity that turns its score u
+    into (I - A M)^-1 u, with its sensitivity A and the inverse M of all clusters' sum, so sums suffice.
+    """
+    k = len(inverse)
+
+    def batch(frames):
+        for f in frames:
+            u = f[[f"u{i}" for i in range(k)]].to_numpy()
+            a = np.zeros((len(f), k, k))
+            for i, j in upper:
+                a[:, i, j] = a[:, j, i] = f[f"b{i}_{j}"].to_numpy()
+            v = np.linalg.solve(np.eye(k) - a @ inverse, u[:, :, None])[:, :, 0]
+            yield pd.DataFrame((v.T @ v).reshape(1, -1), columns=[f"m{x}" for x in range(k * k)])
+
+    parts = scores.mapInPandas(batch, ", ".join(f"m{x} double" for x in range(k * k)))
+    row = parts.agg(*(F.sum(f"m{x}").alias(f"m{x}") for x in range(k * k))).first()
+    return np.array([row[f"m{x}"] for x in range(k * k)]).reshape(k, k)
+
+
 @dataclass(frozen=True)
 class Gee:
     beta: np.ndarray
@@ -273,11 +304,12 @@ class Gee:
     meat: np.ndarray
 
 
-def gee(df: DataFrame, design: list[Column], target: Column, cluster: str, binomial: bool = True, exchangeable: bool = True, fixed: np.ndarray | None = None, iterations: int = 40) -> Gee:
+def gee(df: DataFrame, design: list[Column], target: Column, cluster: str, binomial: bool = True, exchangeable: bool = True, fixed: np.ndarray | None = None, iterations: int = 40, bias_reduced: bool = False) -> Gee:
     """Generalised estimating equations with an exchangeable (or independent) working correlation.
 
     Each iteration aggregates to one row of sums for each cluster and then to one row in all. fixed: evaluate
-    the equations at these coefficients without fitting, which the score test needs.
+    the equations at these coefficients without fitting, which the score test needs. bias_reduced: a robust
+    covariance for few clusters.
     """
     names = [f"x{i}" for i in range(len(design))]
     k = len(names)
@@ -288,11 +320,7 @@ def gee(df: DataFrame, design: list[Column], target: Column, cluster: str, binom
     upper = [(i, j) for i in range(k) for j in range(i, k)]
 
     def totals(per: DataFrame, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        c = F.lit(alpha) / (1.0 + (F.col("n") - 1) * F.lit(alpha))
-        g = [((F.col(f"g{i}") - c * F.col(f"d{i}") * F.col("e")) / (1.0 - alpha)).alias(f"u{i}") for i in range(k)]
-        h = [((F.col(f"h{i}_{j}") - c * F.col(f"d{i}") * F.col(f"d{j}")) / (1.0 - alpha)).alias(f"b{i}_{j}") for i, j in upper]
-        each = per.select(*g, *h)
-        row = each.agg(*(F.sum(f"u{i}").alias(f"u{i}") for i in range(k)), *(F.sum(f"b{i}_{j}").alias(f"b{i}_{j}") for i, j in upper), *(F.sum(F.col(f"u{i}") * F.col(f"u{j}")).alias(f"m{i}_{j}") for i, j in upper)).first()
+        row = _scores(per, alpha, k, upper).agg(*(F.sum(f"u{i}").alias(f"u{i}") for i in range(k)), *(F.sum(f"b{i}_{j}").alias(f"b{i}_{j}") for i, j in upper), *(F.sum(F.col(f"u{i}") * F.col(f"u{j}")).alias(f"m{i}_{j}") for i, j in upper)).first()
         bread, meat = np.zeros((k, k)), np.zeros((k, k))
         for i, j in upper:
             bread[i, j] = bread[j, i] = row[f"b{i}_{j}"]
@@ -311,12 +339,14 @@ def gee(df: DataFrame, design: list[Column], target: Column, cluster: str, binom
                 lowest = -0.99 / max(r.most - 1, 1)  # below this the correlation matrix of the largest cluster is singular
                 alpha = min(max(r.pairs / max(r.np - k, 1) / phi, lowest), 0.99) if r.np and phi > 0 else 0.0
             score, bread, meat = totals(per, alpha)
+            step = np.linalg.solve(bread + 1e-12 * np.eye(k), score) if fixed is None else np.ones(k)
+            done = fixed is None and np.abs(step).max() < 1e-8
+            if done and bias_reduced:
+                meat = _reduced_meat(_scores(per, alpha, k, upper), np.linalg.pinv(bread), upper)
             per.unpersist()
-            if fixed is not None:
-                continue
-            step = np.linalg.solve(bread + 1e-12 * np.eye(k), score)
-            beta = beta + step
-            if np.abs(step).max() < 1e-8:
+            if fixed is None:
+                beta = beta + step
+            if done:
                 break
     finally:
         rows.unpersist()

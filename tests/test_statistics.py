@@ -104,12 +104,27 @@ def slow_gee(x, y, g, binomial):
     return beta, np.linalg.inv(bread) @ meat @ np.linalg.inv(bread), alpha
 
 
+def slow_reduced(x, y, g, binomial, beta, alpha):
+    eta = x @ beta
+    mu = 1 / (1 + np.exp(-eta)) if binomial else eta
+    s = np.sqrt(mu * (1 - mu)) if binomial else np.ones(len(y))
+    parts = []
+    for c in np.unique(g):
+        d, e = x[g == c] * s[g == c][:, None], ((y - mu) / s)[g == c]
+        parts.append((d, e, np.linalg.inv((1 - alpha) * np.eye(len(e)) + alpha)))
+    m = np.linalg.inv(sum(d.T @ v @ d for d, _, v in parts))
+    u = [d.T @ v @ np.linalg.solve(np.eye(len(e)) - d @ m @ d.T @ v, e) for d, e, v in parts]
+    return m @ sum(np.outer(a, a) for a in u) @ m
+
+
 @pytest.mark.parametrize("binomial", [True, False])
 def test_gee_equals_dense_algebra(rows, binomial):
     x, y = np.column_stack([np.ones(N), X]), Y if binomial else B
     beta, robust, alpha = slow_gee(x, y, G, binomial)
     fit = stats.gee(rows, [F.lit(1.0), F.col("x0"), F.col("x1")], F.col("y" if binomial else "b"), "g", binomial)
     assert fit.beta == pytest.approx(beta, abs=1e-5) and fit.alpha == pytest.approx(alpha, abs=1e-5) and np.allclose(fit.robust, robust, rtol=1e-3)
+    reduced = stats.gee(rows, [F.lit(1.0), F.col("x0"), F.col("x1")], F.col("y" if binomial else "b"), "g", binomial, bias_reduced=True)
+    assert np.allclose(reduced.robust, slow_reduced(x, y, G, binomial, beta, alpha), rtol=1e-3)
     statistic, df, p = stats.wald(fit, [1, 2])
     assert df == 2 and 0 <= p < 0.05 and statistic > 6
 
@@ -294,3 +309,46 @@ def test_lineage(tmp_path):
     with lineage.run(broken, "job", [], []):
         pass
     assert lineage.model_edges({"gold": ["silver", "seed"]}) == [("seed", "gold"), ("silver", "gold")]
+
+
+def test_study(spark):
+    from pulsegrid.operators import study
+
+    local = np.random.default_rng(11)
+    encounters, minutes = [], []
+    for e in range(60):
+        label, old = e % 2, (e // 2) % 2
+        encounters.append((f"e{e}", f"g{e // 2}", label, old, "22298006" if e % 3 else "1734006", "207RC0000X" if e % 5 else "207RP1001X"))
+        base = 70 + 3 * local.standard_normal()
+        for m in range(15):
+            rate = base + 0.6 * m * label * (1 - 0.9 * old) + local.standard_normal()
+            minutes.append((f"e{e}", m, rate, 15 + local.standard_normal() + label, 97 - 0.3 * label + 0.2 * local.standard_normal(), 120.0 + local.standard_normal() if m % 5 == 0 else None, 37.0 + 0.1 * local.standard_normal() if m % 5 == 0 else None, 21.0 if m % 5 == 0 else None, 0.0 if m == 5 else None))
+    frame = spark.createDataFrame(encounters, "encounter_key string, split_group string, label int, old int, diagnosis_code string, attending_taxonomy_code string").withColumns({"news2_total": F.lit(1), "age_at_admission_years": F.when(F.col("old") == 1, 70).otherwise(50)})
+    chosen = study.analysis_set(frame, ["1734006"])
+    assert {r.diagnosis_group for r in chosen.collect()} == {"Cardiovascular", "Other"} and {r.specialty_group for r in chosen.collect()} == {"Cardiology", "Critical care and pulmonary"}
+    with pytest.raises(Exception, match="admitting list"):
+        study.analysis_set(frame, []).collect()
+    raw = spark.createDataFrame(minutes, "encounter_key string, minute_index int, heart_rate_mean double, respiratory_rate_mean double, spo2_mean double, systolic_bp_mean double, temperature_mean double, inhaled_oxygen_concentration_max double, consciousness_level_max double")
+    rows = study.minute_frame(raw, chosen).cache()
+    assert rows.where("consciousness_level is null").agg(F.max("minute_index")).first()[0] == 4 and rows.where("systolic_bp is null").count() == 0
+    folds = stats.stratified_group_folds(chosen, "split_group", "label", 3)
+    scores = study.out_of_fold_scores(rows, folds, ("heart_rate", "respiratory_rate"))
+    assert scores.count() == 60 and stats.auc(scores, "label", "gee_logistic") > 0.7 and stats.auc(scores, "label", "naive_logistic") > 0.7
+    assert study.vital_signal_test(rows, vitals=("heart_rate", "respiratory_rate")).p_value < 0.01
+    tests = study.moderation_tests(rows, moderators=("age_65_plus", "diagnosis_group"))
+    assert tests["age_65_plus"].holm_p_value < 0.001 < tests["diagnosis_group"].holm_p_value
+    assert study.rise_moderation_tests(rows, moderators=("age_65_plus",))["age_65_plus"].p_value < 0.001
+    grid = spark.createDataFrame([(1.0, 1.0, 0.7, 0.6), (2.0, 1.0, 0.81, 0.7)], "trend_scale double, event_scale double, model double, news2 double")
+    assert study.calibration_choice(grid).first().trend_scale == 2.0 and study.power([0.01, 0.2]) == 0.5
+
+
+def test_training_split_by_groups(spark):
+    from pulsegrid.functions.catalog import FEATURE_COLUMNS
+    from pulsegrid.operators import features
+
+    rows = spark.createDataFrame([(f"e{i}", f"p{i}") for i in range(40)], "encounter_key string, patient_id string")
+    rows = rows.withColumns({"patient_key": F.md5("patient_id"), "provider_version_key": F.lit("v"), "is_training_eligible": F.lit(True), "deterioration_proxy_label": F.lit(0), "label_definition_version": F.lit("l"), **{c: F.lit(1.0) for c in FEATURE_COLUMNS}})
+    groups = rows.select("patient_id", F.concat(F.lit("g"), F.substring("patient_id", 2, 1)).alias("split_group")).where("patient_id <> 'p39'")
+    out = features.training_dataset(rows, groups)
+    joined = out.join(groups.select(F.md5("patient_id").alias("patient_key"), "split_group"), "patient_key")
+    assert out.count() == 40 and quality.split_leakage(joined, "split_group").count() == 0 and joined.select("data_split").distinct().count() == 2
