@@ -137,6 +137,10 @@ class Machine:
             np.maximum.at(out, np.array(owner), value + self.bias)
         return out.tolist()
 
+    def values(self, words: list[str], step: int = 50_000) -> np.ndarray:
+        """The same for any number of words, in steps of bounded memory."""
+        return np.concatenate([self.words(words[at : at + step]) for at in range(0, len(words), step)])
+
     def probability(self, value: float) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.slope * value + self.offset, -30, 30))))
 
@@ -176,9 +180,14 @@ def _solve(x: np.ndarray, y: np.ndarray, c: np.ndarray) -> np.ndarray:
     reg[-1, -1] = 1e-3
     for _ in range(30):
         margin = 1 - y * (x @ w)
-        on = margin > 0
-        grad = reg @ w - 2 * x[on].T @ (c[on] * y[on] * margin[on])
-        step = np.linalg.solve(reg + 2 * (x[on] * c[on, None]).T @ x[on], grad)
+        on = np.flatnonzero(margin > 0)
+        grad, hess = reg @ w, reg.copy()
+        for at in range(0, len(on), 4096):
+            i = on[at : at + 4096]
+            part = x[i].astype(np.float64)
+            grad -= 2 * part.T @ (c[i] * y[i] * margin[i])
+            hess += 2 * (part * c[i, None]).T @ part
+        step = np.linalg.solve(hess, grad)
         w -= step
         if np.abs(step).max() < 1e-7:
             break
@@ -188,42 +197,48 @@ def _solve(x: np.ndarray, y: np.ndarray, c: np.ndarray) -> np.ndarray:
 def train(docs: list[tuple[str | None, int]]) -> Machine | None:
     """The machine of labelled texts (text, 0 or 1); none where either label is missing.
 
-    The same texts in the same order always give the same machine.
+    The same texts in the same order always give the same machine. Documents are held as arrays of word
+    numbers, so memory grows with the sample's distinct words and not with its text.
     """
     rng = np.random.default_rng(SEED)
-    bags = [(sorted(set(units(t))), int(y)) for t, y in docs]
-    bags = [(u, y) for u, y in bags if u]
-    toxic, clean = [u for u, y in bags if y], [u for u, y in bags if not y]
+    numbers: dict[str, int] = {}
+    bags: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+    for text, y in docs:
+        found = [numbers.setdefault(w, len(numbers)) for w in sorted(set(units(text)))]
+        if found:
+            bags[int(y)].append(np.array(found, np.int32))
+    clean, toxic = bags
     if len(toxic) < 4 or len(clean) < 4:
         return None
+    words = list(numbers)
+    numbers.clear()
     fit_t, cal_t = toxic[0::3] + toxic[1::3], toxic[2::3]
     fit_c, cal_c = clean[0::3] + clean[1::3], clean[2::3]
-    in_toxic, in_clean = Counter(w for u in fit_t for w in u), Counter(w for u in fit_c for w in u)
-    odds = {w: np.log((n + 0.1) / len(fit_t)) - np.log((in_clean[w] + 0.1) / len(fit_c)) for w, n in in_toxic.items()}
-    usable = {w for w in {*in_toxic, *in_clean} if codes(w)}
-    positive = Counter(max((w for w in u if w in usable), key=lambda w: (odds[w], w), default="") for u in fit_t)
-    positive.pop("", None)
-    all_clean = sorted(w for w in in_clean if w in usable)
-    negative = [all_clean[i] for i in rng.permutation(len(all_clean))[:NEGATIVES]]
-    machine = None
+    usable = np.array([bool(codes(w)) for w in words])
+    in_toxic, in_clean = (np.bincount(np.concatenate(b), minlength=len(words)) for b in (fit_t, fit_c))
+    odds = np.where(usable, np.log((in_toxic + 0.1) / len(fit_t)) - np.log((in_clean + 0.1) / len(fit_c)), -np.inf)
+    positive = Counter(words[u[np.argmax(odds[u])]] for u in fit_t if usable[u].any())
+    all_clean = np.flatnonzero(usable & (in_clean > 0))
+    negative = all_clean[rng.permutation(len(all_clean))[:NEGATIVES]]
+    own = usable & (in_toxic > 0) & (in_clean == 0)  # words that may have made a document toxic
     for _ in range(ROUNDS):
-        machine, landmarks = _machine(positive, sorted(set(negative)), rng)
-        words = sorted(w for w in in_toxic if w in usable)
-        value = dict(zip(words, machine.words(words), strict=True))
+        machine = _machine(positive, [words[i] for i in np.unique(negative).tolist()], rng)
+        value = machine.values(words)
         positive = Counter()
         for u in fit_t:
-            best = sorted(((value[w], w) for w in u if w in usable and not in_clean[w]), reverse=True)
-            positive.update(w for v, w in best[:1])
-            positive.update(w for v, w in best[1:] if v > 0.5)
-        hard = sorted(zip(machine.words(all_clean), all_clean, strict=True), reverse=True)[: NEGATIVES // 4]
-        negative += [w for _, w in hard]
-    tops = np.array([max(machine.words(u)) for u in cal_t + cal_c])
+            mine = u[own[u]]
+            if len(mine):
+                best = mine[np.argmax(value[mine])]
+                positive.update(words[i] for i in {int(best), *mine[value[mine] > 0.5].tolist()})
+        hard = all_clean[np.argsort(-value[all_clean], kind="stable")[: NEGATIVES // 4]]
+        negative = np.concatenate([negative, hard])
+    tops = np.array([value[u].max() for u in cal_t + cal_c])
     label = np.array([1.0] * len(cal_t) + [0.0] * len(cal_c))
     slope, offset = _logistic(tops, label)
     return Machine(machine.weights, machine.bias, slope, offset)
 
 
-def _machine(positive: Counter, negative: list[str], rng: np.random.Generator) -> tuple[Machine, list[str]]:
+def _machine(positive: Counter, negative: list[str], rng: np.random.Generator) -> Machine:
     words, weight, label = [], [], []
     for w, n in sorted(positive.items()):
         words.append(w)
@@ -249,11 +264,11 @@ def _machine(positive: Counter, negative: list[str], rng: np.random.Generator) -
     values, vectors = np.linalg.eigh((kmm + kmm.T) / 2)
     some = values > 1e-5 * values.max()
     whiten = vectors[:, some] / np.sqrt(values[some])
-    x = np.hstack([kernel_features(lists, table) @ whiten, np.ones((len(lists), 1))])
+    x = np.hstack([kernel_features(lists, table) @ whiten.astype(np.float32), np.ones((len(lists), 1), np.float32)])
     y, c = np.array(label), COST * np.array(weight)
     c[y > 0] *= (c[y < 0].sum() / c[y > 0].sum()) ** 0.5
     w = _solve(x, y, c)
-    return Machine((table @ (whiten @ w[:-1])).astype(np.float32), float(w[-1]), 1.0, 0.0), picked
+    return Machine((table @ (whiten @ w[:-1])).astype(np.float32), float(w[-1]), 1.0, 0.0)
 
 
 def _logistic(value: np.ndarray, label: np.ndarray) -> tuple[float, float]:
