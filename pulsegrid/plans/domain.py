@@ -15,7 +15,7 @@ from pulsegrid.config import EngineConfig
 from pulsegrid.functions.catalog import EXTREMES, FEATURES, FIELDS, LABEL_VERSION, LOINC, MINUTE_FEATURES, NEWS2_BANDS, VITALS
 from pulsegrid.operators import features as feats
 from pulsegrid.operators import ingest, scd, star
-from pulsegrid.session import table
+from pulsegrid.session import importable, table
 
 CONFIG = EngineConfig(feature_minutes=7 * 1440, outcome_minutes=7 * 1440, as_of="2024-01-15 12:00:00")
 ACTIVE = [f"p{i}" for i in range(1, 121)]
@@ -74,7 +74,7 @@ class Domain:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir = importable(spark), sf_dir
 
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)

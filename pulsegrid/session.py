@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "pulsegrid", cpus: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
     """A local session in UTC with AQE; a cluster passes its own configuration instead."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.session.timeZone", "UTC")
@@ -20,6 +21,16 @@ def build_session(app: str = "pulsegrid", cpus: int | str = 8, shuffle_partition
         .config("spark.driver.memory", os.environ.get("PULSEGRID_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
+    return importable(spark)
+
+
+def importable(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package from where the driver has it; a cluster gets it with ``--py-files``."""
+    root = str(Path(__file__).resolve().parent.parent)
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in paths.split(":"):
+        spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{paths}".rstrip(":")
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
