@@ -55,17 +55,29 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; between stages, rows are written as Parquet and read again."""
+    """Applies the stages to documents; between stages, rows are written as Parquet and read again.
+
+    A stage's table goes as soon as the next stage's is written; the last one stays, as the result reads it.
+    """
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    folder = stage_folder(spark)
+    folder, before = stage_folder(spark), None
     for at, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if at + 1 < len(STAGES):
             docs.write.mode("overwrite").parquet(path := f"{folder}/{at}_{name}")
             docs = spark.read.parquet(path)
+            if before:
+                remove(spark, before)
+            before = path
     return docs
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store holds it."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def stage_folder(spark: SparkSession) -> str:
     """A new folder in the session's shared ``spark.checkpoint.dir``, or under the warehouse where unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_stages"
