@@ -36,7 +36,7 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 REMEMBERED = 400_000
 GROUP_CHARS = 1 << 20
 #: Rests of one length that are ranked together in one group, on average.
-RANK_GROUP = 20_000
+RANK_GROUP = 1_000
 
 
 @lru_cache(maxsize=4)
@@ -228,11 +228,13 @@ def _placed(df: DataFrame, at: dict[str, np.ndarray], first: int, span: int) ->
 def _ranked(df: DataFrame, group: str, order: list[str], counts: dict[int, int]) -> DataFrame:
     """Adds rank, 0 to n - 1 within each value of group (a long), without gathering a value in one task.
 
-    counts: rows of each value. Each value is dealt by hash into groups of about RANK_GROUP rows; rows are
-    numbered within these, and the groups' counts give each group its first rank.
+    counts: rows of each value, which are at most as many as there are lengths. Each value is dealt by hash
+    into groups of about RANK_GROUP rows; rows are numbered within these, and the groups' counts give each
+    group its first rank.
     """
-    parts = max(1, -(-max(counts.values(), default=1) // RANK_GROUP))
-    dealt = df.withColumn("part", F.pmod(F.xxhash64(*order), F.lit(parts)))
+    many = {v: -(-n // RANK_GROUP) for v, n in counts.items() if n > RANK_GROUP}
+    parts = F.coalesce(F.create_map(*(F.lit(x) for pair in many.items() for x in pair))[F.col(group)], F.lit(1)) if many else F.lit(1)
+    dealt = df.withColumn("part", F.pmod(F.xxhash64(*order), parts))
     key = [group, "part"]
     sizes = dealt.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
