@@ -199,7 +199,10 @@ def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(distinct: DataFrame) -> DataFrame:
     """(a, b): enough verified links between distinct fingerprints to connect all that are linked."""
-    rows = variants(distinct)
+    # fingerprints are small and their index entries are not: without a fixed number of partitions AQE would
+    # join the small ones, and few tasks would make all entries
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = variants(distinct.select("fp").repartition(parts, "fp"))
     found = keep(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_links, _LINKS))
     edges = found.where("key is null").select("a", "b")
     large = found.where("key is not null").select("key", "block", F.col("a").alias("fp"))
