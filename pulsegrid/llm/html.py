@@ -35,6 +35,8 @@ OUT_CLASS = re.compile(
     r"cookies?|consent|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|comments?|replies|respond|disqus|widget|toolbar|pagination|pager)(?:$|[\s_-])",
     re.I,
 )
+#: Names that mean a page's own parts outside an article, but may hold its title inside one.
+OUT_PAGE = re.compile(r"(?:^|[\s_-])(?:header|head|top-?bar|hero)(?:$|[\s_-])", re.I)
 #: An article element may be named after its layout, so fewer names count there.
 OUT_ARTICLE = re.compile(r"(?:^|[\s_-])(?:advert\w*|sponsor\w*|promo\w*|comments?|repl(?:y|ies)|related|teaser)(?:$|[\s_-])", re.I)
 OUT_ROLE = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
@@ -85,10 +87,12 @@ class _Events(HTMLParser):
             return
         out, region = self._state()
         if not out:
-            out = tag in LEFT_OUT or (tag == "header" and not any(n == "article" for n, _, _ in self.stack))
+            outside = not any(n == "article" for n, _, _ in self.stack)
+            out = tag in LEFT_OUT or (tag == "header" and outside)
             for name, value in attrs:
                 if name in ("class", "id") and value and tag not in ("html", "body", "main"):
                     out = out or bool((OUT_ARTICLE if tag == "article" else OUT_CLASS).search(value))
+                    out = out or (outside and tag != "article" and bool(OUT_PAGE.search(value)))
                 elif name == "role" and value in OUT_ROLE or name == "hidden" or name == "aria-hidden" and value == "true":
                     out = True
         if tag in REGIONS and not out:
