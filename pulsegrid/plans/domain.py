@@ -96,7 +96,7 @@ class Domain:
 
     @cached_property
     def processed(self) -> DataFrame:
-        return ingest.latest_per_key(self.valid)
+        return ingest.latest_per_key(self.valid).persist()  # a table in the lakehouse, which the models below read many times
 
     @cached_property
     def staged(self) -> DataFrame:
@@ -113,7 +113,7 @@ class Domain:
 
     @cached_property
     def encounters(self) -> DataFrame:
-        return star.dim_encounter(self.staged, self.providers, config=CONFIG)
+        return star.dim_encounter(self.staged, self.providers, config=CONFIG).persist()
 
     @cached_property
     def facts(self) -> DataFrame:
