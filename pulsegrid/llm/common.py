@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 from pathlib import Path
 from typing import Any
@@ -72,10 +71,6 @@ def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
-def sha256_hex(data: bytes | str) -> str:
-    return hashlib.sha256(data.encode("utf-8", "surrogatepass") if isinstance(data, str) else data).hexdigest()
-
-
 def utf8(text: str | None) -> bytes:
     """A text's UTF-8 bytes; null counts as empty."""
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
