@@ -3,9 +3,10 @@
 The standard library's parser streams a page's events. Block elements cut its text into lines; each line
 has a text-to-tag ratio. The ratios are smoothed with a Gaussian kernel and the lines are clustered by a
 threshold into content and the rest (Weninger et al., "CETR: Content Extraction via Tag Ratios", 2010).
-Content lines then vote, with their characters, for the region of the page that holds them, and the whole
-winning region is the result: a short paragraph between long ones is not lost, and a long advert outside
-is not won. Elements that are no article text by their name or class are left out at any depth.
+The smallest region of the page that covers all content lines is the result, whole: a short paragraph
+between long ones is not lost, nor is any part of a story in several regions. An article or main element
+around that region widens it and never narrows it. Elements that are no article text by their name or
+class are left out at any depth.
 """
 
 from __future__ import annotations
@@ -54,8 +55,9 @@ class _Events(HTMLParser):
         self.stack: list[tuple[str, bool, int]] = []  # name, left out, region
         self.regions: list[tuple[str, int]] = [("page", -1)]  # name, the region around
         self.texts: list[str] = []
+        self.linked = True  # all text of the line so far is in links
         self.tags = 0
-        self.lines: list[tuple[str, int, int]] = []
+        self.lines: list[tuple[str, int, int, bool]] = []
 
     def updatepos(self, i, j):
         """Line numbers are not needed."""
@@ -69,8 +71,9 @@ class _Events(HTMLParser):
         if self.texts:
             text = " ".join("".join(self.texts).split())
             if text and not out:
-                self.lines.append((text, self.tags, region))
+                self.lines.append((text, self.tags, region, self.linked))
             self.texts = []
+            self.linked = True
         self.tags = 0
 
     def handle_starttag(self, tag, attrs):
@@ -122,6 +125,8 @@ class _Events(HTMLParser):
 
     def handle_data(self, data):
         self.texts.append(data)
+        if self.linked and not data.isspace():
+            self.linked = any(name == "a" for name, _, _ in self.stack)
 
 
 def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -131,11 +136,12 @@ def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(ratios, kernel)[reach : reach + len(ratios)] / np.convolve(np.ones(len(ratios)), kernel)[reach : reach + len(ratios)]
 
 
-def content_lines(lines: list[tuple[str, int, int]]) -> np.ndarray:
-    """Which lines the threshold puts into the content cluster."""
-    ratios = np.array([len(text) / max(1, tags) for text, tags, _ in lines], np.float64)
-    smoothed = smooth(ratios)
-    return smoothed >= THRESHOLD * ratios.std()
+def content_lines(lines: list[tuple[str, int, int, bool]]) -> tuple[np.ndarray, np.ndarray]:
+    """Which lines the threshold puts into the content cluster, and which of them also without smoothing."""
+    ratios = np.array([len(text) / max(1, tags) for text, tags, _, _ in lines], np.float64)
+    least = THRESHOLD * ratios.std()
+    content = smooth(ratios) >= least
+    return content, content & (ratios >= least)
 
 
 def main_text(page: str | None) -> str:
@@ -149,21 +155,39 @@ def main_text(page: str | None) -> str:
     lines, regions = events.lines, events.regions
     if not lines:
         return ""
-    content = content_lines(lines)
-    votes = np.zeros(len(regions))
-    for (text, _, region), is_content in zip(lines, content, strict=True):
-        while region >= 0:  # a line votes for all regions around it
-            votes[region] += len(text) * (1.0 if is_content else 1e-6)
+    content, strong = content_lines(lines)
+    names = {name for name, _ in regions}
+    hint = next((n for n in ("article", "main") if n in names), None)
+    hinted = [hint is None] * len(regions)
+    for i, (name, around) in enumerate(regions):
+        hinted[i] = hinted[i] or name == hint or around >= 0 and hinted[around]
+    # a line that is content only by the lines beside it does not widen the region if it is a link or outside the hint
+    deciding = strong | content & np.array([hinted[region] and not linked for _, _, region, linked in lines])
+    if not deciding.any():
+        deciding = content if content.any() else np.ones(len(lines), bool)
+    held = [0] * len(regions)
+    for at in np.flatnonzero(deciding).tolist():
+        region = lines[at][2]
+        while region >= 0:  # a line counts for all regions around it
+            held[region] += 1
             region = regions[region][1]
-    explicit = [i for i, (name, _) in enumerate(regions) if name == "article"] or [i for i, (name, _) in enumerate(regions) if name == "main"]
-    if explicit and votes[explicit].max() > 0:
-        chosen = explicit[int(np.argmax(votes[explicit]))]
-    else:  # the innermost region that holds most of the content
-        chosen = max((i for i in range(len(regions)) if votes[i] > 0.6 * votes[0]), default=0)
-    inside = [False] * len(regions)
+    chosen = max(i for i in range(len(regions)) if held[i] == held[0])  # such regions lie in each other; the innermost
+    chain = [chosen]
+    while regions[chain[-1]][1] >= 0:
+        chain.append(regions[chain[-1]][1])
+    for name in ("article", "main"):
+        wider = [i for i in chain if regions[i][0] == name]
+        if wider:
+            chosen = wider[-1]
+            break
+    # of a whole page, parts without any content before the first and after the last content line are its frame
+    whole = regions[chosen][0] not in ("page", "body")
+    first, last = np.flatnonzero(deciding)[[0, -1]].tolist()
+    inside, frame = [False] * len(regions), [False] * len(regions)
     for i, (_, around) in enumerate(regions):
         inside[i] = i == chosen or around >= 0 and inside[around]
-    return "\n".join(text for text, _, region in lines if inside[region])
+        frame[i] = not whole and inside[i] and i != chosen and (held[i] == 0 if around == chosen else frame[around])
+    return "\n".join(text for at, (text, _, region, _) in enumerate(lines) if inside[region] and not (frame[region] and not first < at < last))
 
 
 def _extract():

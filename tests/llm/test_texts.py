@@ -204,6 +204,18 @@ def test_main_text_of_a_page():
     assert html.main_text("<article>a<p>b &amp") == "a\nb &"
 
 
+def test_main_text_keeps_every_part_of_a_story():
+    long = "A long paragraph of the story, with many words in it. " * 6
+    menu = "<div><a href=x>one</a></div><div><a href=y>two</a></div>"
+    teaser = html.main_text(f"<body>{menu}<main><p>{long}</p><p>Short.</p><article><p>An unclassed teaser</p></article></main></body>").split("\n")
+    assert teaser[:2] == [long.strip(), "Short."]
+    for tag in ("article", "section", "div"):
+        parts = html.main_text(f"<body>{menu}<{tag}><p>{long * 2}</p></{tag}><{tag}><p>{long}</p><p>The end.</p></{tag}>{menu}</body>")
+        assert parts.split("\n") == [(long * 2).strip(), long.strip(), "The end."], tag
+    one = html.main_text(f"<body>{menu}<article><h1>Title</h1><div><p>{long}</p></div><p>End.</p></article><div><a href=z>next</a></div></body>")
+    assert one.split("\n") == ["Title", long.strip(), "End."]
+
+
 def test_smoothing_keeps_a_constant():
     assert np.allclose(html.smooth(np.full(9, 3.0)), 3.0)
 
