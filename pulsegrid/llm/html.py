@@ -31,15 +31,34 @@ LEFT_OUT = frozenset("aside button canvas dialog footer form head iframe input m
 #: Elements that the start of another ends, where their own end is missing.
 ENDS_P = BLOCKS - frozenset("td th tr li dd dt caption option".split())
 SAME = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-OUT_CLASS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side-bar|aside|nav|navbar|navigation|menu|breadcrumbs?|footer|masthead|site-header|page-header|"
-    r"cookies?|consent|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|comments?|replies|respond|disqus|widget|toolbar|pagination|pager)(?:$|[\s_-])",
-    re.I,
+OUT_NAMES = (
+    r"ad|ads|adv|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side-bar|aside|nav|navbar|navigation|menu|breadcrumbs?|footer|masthead|site-header|page-header|"
+    r"cookies?|consent|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|comments?|replies|respond|disqus|widget|toolbar|pagination|pager"
 )
 #: Names that mean a page's own parts outside an article, but may hold its title inside one.
-OUT_PAGE = re.compile(r"(?:^|[\s_-])(?:header|head|top-?bar|hero)(?:$|[\s_-])", re.I)
+PAGE_NAMES = r"header|head|top-?bar|hero"
 #: An article element may be named after its layout, so fewer names count there.
-OUT_ARTICLE = re.compile(r"(?:^|[\s_-])(?:advert\w*|sponsor\w*|promo\w*|comments?|repl(?:y|ies)|related|teaser)(?:$|[\s_-])", re.I)
+ARTICLE_NAMES = r"advert\w*|sponsor\w*|promo\w*|comments?|repl(?:y|ies)|related|teaser"
+#: Words that say where or how an element stands; beside a name they leave it the name of a page's part.
+LAYOUT = (
+    r"\d+|area|bar|block|body|bottom|box|button|buttons|card|cards|container|content|float|form|global|grid|group|head|header|holder|icons?|inline|inner|item|items|left|links?|list|main|mid|"
+    r"module|outer|page|panel|post|posts|primary|right|row|section|side|site|slot|stories|top|unit|wrap|wrapper"
+)
+#: Elements of running text, and those that stand for a part of it; their ids are often made from a heading.
+RUNNING = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd blockquote pre".split())
+SLUGGED = RUNNING | {"section", "article"}
+
+
+def _named(names: str) -> tuple[re.Pattern, re.Pattern, re.Pattern]:
+    """One of the names as a word of the value, one of them as a whole value, and one of them or a word of layout."""
+    return (
+        re.compile(rf"(?:^|[\s_-])(?:{names})(?:$|[\s_-])", re.I),
+        re.compile(rf"(?:{names})", re.I),
+        re.compile(rf"(?:{names}|{LAYOUT})", re.I),
+    )
+
+
+OUT_CLASS, OUT_PAGE, OUT_ARTICLE = _named(OUT_NAMES), _named(PAGE_NAMES), _named(ARTICLE_NAMES)
 OUT_ROLE = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
 #: Standard deviation of the smoothing kernel in lines, and the threshold in deviations of the ratios.
@@ -47,6 +66,20 @@ SIGMA = 1.0
 THRESHOLD = 0.5
 
 
+def _left_out(named: tuple[re.Pattern, re.Pattern, re.Pattern], tag: str, attribute: str, value: str, inside: bool) -> bool:
+    """Whether a class or id names a part that is no article text; inside an article or main a word in a slug does not."""
+    word, whole, part = named
+    if not word.search(value):
+        return False
+    if attribute == "id":
+        return bool(whole.fullmatch(value.strip())) if inside or tag in SLUGGED else True
+    if tag in RUNNING:
+        return any(whole.fullmatch(v) for v in value.split())
+    if inside or tag == "article":
+        return any(word.search(v) and all(part.fullmatch(w) for w in re.split("[_-]+", v) if w) for v in value.split())
+    return True
+
+
 class _Events(HTMLParser):
     """Collects lines: text, tags, the regions around it, and whether it is left out."""
 
@@ -91,11 +124,12 @@ class _Events(HTMLParser):
         out, region = self._state()
         if not out:
             outside = not any(n == "article" for n, _, _ in self.stack)
+            inside = not outside or any(n == "main" for n, _, _ in self.stack)
             out = tag in LEFT_OUT or (tag == "header" and outside)
             for name, value in attrs:
                 if name in ("class", "id") and value and tag not in ("html", "body", "main"):
-                    out = out or bool((OUT_ARTICLE if tag == "article" else OUT_CLASS).search(value))
-                    out = out or (outside and tag != "article" and bool(OUT_PAGE.search(value)))
+                    out = out or _left_out(OUT_ARTICLE if tag == "article" else OUT_CLASS, tag, name, value, inside)
+                    out = out or (outside and tag != "article" and _left_out(OUT_PAGE, tag, name, value, inside))
                 elif name == "role" and value in OUT_ROLE or name == "hidden" or name == "aria-hidden" and value == "true":
                     out = True
         if tag in REGIONS and not out:

@@ -216,6 +216,17 @@ def test_main_text_keeps_every_part_of_a_story():
     assert one.split("\n") == ["Title", long.strip(), "End."]
 
 
+def test_main_text_keeps_elements_with_slug_ids():
+    words = "with the words of a paragraph that belongs to the story"
+    slugs = f"""<h2 id="social-impact">Social impact</h2><p>one {words}</p><h3 id="login-problems">Login problems</h3><p id="notice-period">two {words}</p>
+    <section id="related-work" class="social-impact"><h2>Related work</h2><p>three {words}</p></section>"""
+    ads = '<div class="ad">buy</div><div class="box ad-slot-2">buy</div><div id="comments"><p>mine</p></div><p class="ad">buy</p><ul class="share-buttons"><li>send</li></ul>'
+    for page in (f"<article>{slugs}{ads}</article>", f"<main>{slugs}{ads}</main>", f'<article class="post category-sponsorship" id="comments-on-the-budget">{slugs}{ads}</article>'):
+        got = html.main_text(f"<body>{page}</body>").split("\n")
+        assert got == ["Social impact", f"one {words}", "Login problems", f"two {words}", "Related work", f"three {words}"], page
+    assert html.main_text(f'<body><div id="site-footer"><p>{words}</p></div><div>{slugs}</div></body>').startswith("Social impact")
+
+
 def test_smoothing_keeps_a_constant():
     assert np.allclose(html.smooth(np.full(9, 3.0)), 3.0)
 
