@@ -87,8 +87,11 @@ SPELLED = re.compile(r"[0-9@]|\b[dD][oO][tT]\b|[\[(] ?[aA][tT] ?[\])]")
 AROUND = 48
 #: Windows decoded together, which bounds a batch's memory along with their length.
 WINDOWS = 512
-#: Longer windows are cut at white space; a span is never as long.
+#: Longer windows are cut at white space.
 LONGEST_WINDOW = 4096
+#: What a window shares with the one it was cut from: a span of LONGEST_SPAN and AROUND on either side of the middle.
+LONGEST_SPAN = 320
+OVERLAP = 2 * (LONGEST_SPAN + AROUND)
 
 # The small labelled table. {kind|text} marks a span; the rest is outside.
 TABLE = """
@@ -308,7 +311,10 @@ def trained() -> Field:
 
 
 def _windows(text: str) -> list[tuple[int, int]]:
-    """The places around triggers, widened to white space and joined where they meet."""
+    """The places around triggers, widened to white space and joined where they meet.
+
+    Where that would be longer than LONGEST_WINDOW, the next one starts OVERLAP before the last one's end.
+    """
     out: list[tuple[int, int]] = []
     at = 0
     low = text.lower()
@@ -321,8 +327,15 @@ def _windows(text: str) -> list[tuple[int, int]]:
             end += 1
         if out and start <= out[-1][1] and end - out[-1][0] <= LONGEST_WINDOW:
             out[-1] = (out[-1][0], end)
+        elif out and start <= out[-1][1]:
+            first, last = out[-1]
+            start = max(first, last - OVERLAP)
+            while start > first and not text[start - 1].isspace() and last - start < LONGEST_WINDOW:
+                start -= 1
+            if end > last:
+                out.append((start, end))
         else:
-            out.append((max(start, out[-1][1]) if out else start, end))
+            out.append((start, end))
         at = max(m.end(), end - AROUND)
     return out
 
@@ -348,19 +361,23 @@ def find_all(texts: list[str | None], field: Field) -> list[list[tuple[str, int,
     bases = [base_spans(t) for t in texts]
     where, shapes, places = [], [], []
     for i, text in enumerate(texts):
-        for start, end in _windows(text) if text else ():
+        windows = _windows(text) if text else []
+        # of two windows that overlap, the middle of what they share decides which one a span is taken from
+        middles = [(a + b) // 2 if a < b else a for (_, b), (a, _) in zip(windows, windows[1:], strict=False)]
+        for (start, end), own in zip(windows, zip([0, *middles], [*middles, len(text or "")], strict=True), strict=False):
             got = tokens(text, start, end)
-            where.append(i)
+            where.append((i, own))
             shapes.append(got[0])
             places.append(got[1:])
     more: list[list[Span]] = [[] for _ in texts]
-    for i, (starts, ends), states in zip(where, places, field.decode(shapes), strict=True):
+    for (i, (own, until)), (starts, ends), states in zip(where, places, field.decode(shapes), strict=True):
         at = 0
         for state, run in groupby(states.tolist()):
             n = len(list(run))
             if state != OUTSIDE:
                 start, end, kind = starts[at], ends[at + n - 1], KINDS[state - 1]
-                if _plausible(kind, texts[i][start:end]) and not any(s < end and start < e for _, s, e in bases[i]):
+                taken = end <= own or start >= until or bool(more[i]) and start < more[i][-1][2]
+                if not taken and _plausible(kind, texts[i][start:end]) and not any(s < end and start < e for _, s, e in bases[i]):
                     more[i].append((kind, start, end))
             at += n
     return [sorted([(*s, True) for s in b] + [(*s, False) for s in m], key=lambda s: (KINDS.index(s[0]), s[1], s[2])) for b, m in zip(bases, more, strict=True)]

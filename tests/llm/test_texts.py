@@ -174,6 +174,19 @@ def test_the_field_learns_its_table_and_finds_more():
     assert found[3] == []
 
 
+def test_spans_across_the_cuts_of_long_windows_are_found_once(monkeypatch):
+    field = pii.trained()
+    for entry in ("ring (743) 555-3824 today or ", "numero 06 12 34 56 78 le soir et "):
+        count = 3 * pii.LONGEST_WINDOW // len(entry)
+        for shift in range(0, len(entry), 3):
+            text = "x" * shift + " " + entry * count
+            cut = pii.find_all([text], field)
+            with monkeypatch.context() as m:
+                m.setattr(pii, "LONGEST_WINDOW", len(text) + 1)
+                assert pii._windows(text) == [(0, len(text))] and cut == pii.find_all([text], field), (entry, shift)
+            assert len(cut[0]) == count
+
+
 def test_pii_rows_and_redaction(spark):
     rows = [(1, "mail a@b.org or +1 (743) 555-3824", 3), (2, None, None), (3, "", 0), (None, "10.0.0.1 x", 9), (1, "mail a@b.org or +1 (743) 555-3824", 3)]
     docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, n_chars long, spans string")
