@@ -129,22 +129,27 @@ def delong(df: DataFrame, label: str, a: str, b: str) -> DeLong:
     return DeLong(auc_a, auc_b, difference, math.sqrt(variance), z, normal_two_sided(z))
 
 
+#: Of the published analysis.
+BOOTSTRAP_RESAMPLES = 2000
+
+
 def group_bootstrap(df: DataFrame, label: str, scores: list[str], group: str, reference: str, resamples: int, seed: int) -> dict:
     """Percentile 95% intervals of AUCs and of their differences from a reference, resampling whole groups.
 
     A group is drawn k times in resample b with k from a Poisson(1) hash of (seed, b, group), so every executor
     draws alike and no row moves to the driver; resamples with one class are skipped and counted.
     """
-    draws = df.select(label, group, *scores).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
     u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "_b", group), 11) * F.lit(1.0 / (1 << 53))
     weight, upto, p = F.lit(0), 0.0, math.exp(-1)
     for k in range(12):
         upto += p
         weight = weight + (u >= upto).cast("int")
         p /= k + 1
-    weighted = draws.withColumn("_w", weight).where("_w > 0")
     found: dict[int, dict[str, float]] = {}
     for s in scores:
+        cells = df.groupBy(label, group, s).agg(F.count(F.lit(1)).alias("_n"))  # rows of a cell are drawn alike
+        draws = cells.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+        weighted = draws.withColumn("_w", weight).where("_w > 0").withColumn("_w", F.col("_w") * F.col("_n"))
         for r in _weighted_auc(weighted, label, s).collect():  # one row for each resample
             if r.auc is not None:
                 found.setdefault(r["_b"], {})[s] = r.auc

@@ -653,7 +653,7 @@ def trained_coefficients(spark, sf):
 @register("st8_group_bootstrap")
 def group_bootstrap(spark, sf):
     rows = Domain(spark, sf).predictions.select("quality", "patient_key", "deterioration_probability", (F.col("doc_id") % 17 / 17.0).alias("other"))
-    found = stats.group_bootstrap(rows, "quality", ["deterioration_probability", "other"], "patient_key", "other", 40, 7)
+    found = stats.group_bootstrap(rows, "quality", ["deterioration_probability", "other"], "patient_key", "other", stats.BOOTSTRAP_RESAMPLES, 7)
     return spark.createDataFrame([(n, *v) for n, v in found["intervals"].items()], "score string, low double, high double")
 
 

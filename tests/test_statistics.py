@@ -56,6 +56,15 @@ def test_bootstrap(rows):
     assert low < slow_auc(Y, A) < high and high - low < 0.3 and got["skipped"] == 0 and got == stats.group_bootstrap(rows, "y", ["a", "b"], "g", "b", 60, 1)
 
 
+def test_the_bootstrap_query_draws_all_resamples(spark, monkeypatch):
+    from pulsegrid.plans import registry, vitals
+
+    drawn, whole = [], stats.group_bootstrap
+    monkeypatch.setattr(vitals.stats, "group_bootstrap", lambda *given: drawn.append(whole(*given)) or drawn[-1])
+    rows = {r.score: (r.low, r.high) for r in registry.QUERIES["st8_group_bootstrap"](spark, "/root/testdata/sf0.001").collect()}
+    assert drawn[0]["resamples"] == 2000 and drawn[0]["skipped"] < 20 and rows == drawn[0]["intervals"]
+
+
 def test_distributions_and_holm(spark):
     for x, k, p in ((3.841458820694124, 1, 0.05), (5.991464547107979, 2, 0.05), (23.684791304840576, 14, 0.05), (0.0, 3, 1.0), (100, 2, math.exp(-50))):
         assert stats.chi2_tail(x, k) == pytest.approx(p, rel=1e-9)
