@@ -18,7 +18,6 @@ from pulsegrid.operators import ingest, scd, star
 from pulsegrid.session import importable, table
 
 CONFIG = EngineConfig(feature_minutes=7 * 1440, outcome_minutes=7 * 1440, as_of="2024-01-15 12:00:00")
-ACTIVE = [f"p{i}" for i in range(1, 121)]
 STAMP = "yyyy-MM-dd HH:mm:ss"
 SQL_STAMP = "%Y-%m-%d %H:%M:%S"
 UNITS = ("Medical intensive care unit", "Step-down unit", "Medical-surgical ward")
@@ -98,9 +97,14 @@ class Domain:
     def processed(self) -> DataFrame:
         return ingest.latest_per_key(self.valid).persist()  # a table in the lakehouse, which the models below read many times
 
+    @cached_property
+    def active(self) -> DataFrame:
+        """The active patients: all users of the events table with a purchase, as many as the table has."""
+        return self.table("events").where("event_type = 'purchase'").select(F.concat(F.lit("p"), "user_id").alias("patient_id")).distinct()
+
     @cached_property
     def staged(self) -> DataFrame:
-        return star.staged_observations(self.processed, ACTIVE)
+        return star.staged_observations(self.processed, self.active)
 
     @cached_property
     def provider_history(self) -> DataFrame:
@@ -243,7 +247,8 @@ RELATIONS = {
         + ", ".join(f"{c} DESC NULLS LAST" for c in ingest.RECENCY)
         + ") AS rn FROM classified WHERE rejection_reason IS NULL) WHERE rn = 1"
     ),
-    "staged": f"SELECT * FROM processed WHERE encounter_id IS NOT NULL AND trim(encounter_id) <> '' AND patient_id IN ({', '.join(repr(p) for p in ACTIVE)})",
+    "active": "SELECT DISTINCT concat('p', CAST(user_id AS VARCHAR)) AS patient_id FROM events WHERE event_type = 'purchase'",
+    "staged": "SELECT * FROM processed WHERE encounter_id IS NOT NULL AND trim(encounter_id) <> '' AND patient_id IN (SELECT patient_id FROM active)",
     "provider_history": f"SELECT {_select(PROVIDERS)} FROM (SELECT s.*, v FROM supplier s, (VALUES (0), (1)) AS versions(v) WHERE v = 0 OR s_suppkey % 2 = 0)",
     "providers": (
         "SELECT md5(provider_npi || '|' || CAST(valid_from AS VARCHAR)) AS provider_version_key, md5(provider_npi) AS provider_key, * FROM (SELECT trim(provider_npi) AS provider_npi, trim(provider_name) AS provider_name, trim(taxonomy_code) AS taxonomy_code, "

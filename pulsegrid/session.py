@@ -18,6 +18,7 @@ def build_session(app: str = "pulsegrid", cpus: int | str = 8, shuffle_partition
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("PULSEGRID_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
