@@ -28,15 +28,25 @@ def ship(spark: SparkSession) -> None:
 def keep(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the folder that all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``. Where that is unset (tests), it is a folder
-    under the warehouse. Never a local checkpoint: those die with an executor.
+    Never a local checkpoint: those die with an executor. Where ``spark.cleaner.referenceTracking.cleanCheckpoints``
+    is set, as ``build_session`` does, a checkpoint is removed once nothing refers to it.
     """
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``. In local mode alone (tests) it may be unset: then under the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+
+
 def map_rows(
     df: DataFrame, columns: list[str], make: Callable[..., Callable[..., list[tuple]]], schema: str, args: tuple = ()
 ) -> DataFrame:

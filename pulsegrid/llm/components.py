@@ -79,7 +79,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     stars = keep(contract(edges.where("a is not null and b is not null and a <> b")).distinct())
     before = None
     for _ in range(MAX_ROUNDS):
-        found = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
+        # all edges, told by their number and 128 bits that do not depend on their order
+        found = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.bit_xor(F.xxhash64(F.lit(1), "a", "b"))).first()
         if found == before or not found[0]:
             break
         before = found

@@ -5,6 +5,9 @@ bits or fewer, one segment differs in at most one bit. Each segment is therefore
 is, and once for each bit with that bit as a wildcard. Equal keys bring every such pair together; the
 distance of the whole fingerprints is then verified. All work is on distinct fingerprints, so copies cost
 one row each. A bucket gives a spanning forest of its verified links, never all its pairs.
+
+A segment that very many fingerprints share would make hot buckets. Within one, the other segment differs in
+at most three bits, so of its four bytes one is equal: such a bucket is dealt by these bytes instead.
 """
 
 from __future__ import annotations
@@ -23,8 +26,11 @@ from pulsegrid.llm.components import connected_components
 SHINGLE_WORDS = 3
 MAX_DISTANCE = 3
 SEED = 42
-#: Fingerprints of a bucket that are compared at once; larger buckets are compared block by block.
+#: Fingerprints of a bucket that are compared at once. A segment of more than half as many is dealt further, by the
+#: other segment's bytes; buckets that are larger even then are compared block by block.
 BLOCK = 2048
+#: Hot segments up to which their keys are broadcast, 33 longs each; beyond that the join shuffles.
+BROADCAST_SEGMENTS = 10_000
 #: Shingle hashes whose bits are unpacked at once.
 HASH_STEP = 1 << 14
 
@@ -130,7 +136,7 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         cuts = np.flatnonzero(np.diff(key)) + 1
         starts = np.concatenate([[0], cuts])
         sizes = np.diff(np.concatenate([starts, [len(key)]]))
-        exact = (key[starts] >> 32) % 33 == 32
+        exact = (key[starts] >> 32 & 127) % 33 == 32
         mixed = np.minimum.reduceat(bit, starts) != np.maximum.reduceat(bit, starts)
         use = (sizes > 1) & (exact | mixed)
         two = starts[use & (sizes == 2)]
@@ -197,13 +203,38 @@ def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(np.concatenate(parts))
 
 
+def hot_segments(distinct: DataFrame) -> DataFrame:
+    """(key): the index keys, exact and with wildcards, of segments that more than half a BLOCK of fingerprints share.
+
+    A bucket with a wildcard joins two segments, so one of more than BLOCK entries holds such a segment.
+    """
+    halves = F.explode(F.array(*(F.struct(F.lit(s).alias("s"), F.shiftrightunsigned(F.col("fp"), 32 * s).bitwiseAND(0xFFFFFFFF).alias("v")) for s in (0, 1))))
+    counts = distinct.select(halves.alias("h")).groupBy("h.s", "h.v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK // 2)
+    # a segment's own index keys do not depend on the other segment
+    return keep(counts.select(F.when(F.col("s") == 0, F.col("v")).otherwise(F.shiftleft("v", 32)).alias("fp"), "s"))
+
+
+def _dealt(entries: DataFrame, hot: DataFrame) -> DataFrame:
+    """Entries whose key is hot, once for each byte of the other segment, which becomes part of the key."""
+    count = hot.count()
+    keys = variants(hot.select("fp")).select("key").join(hot.select(F.col("s").alias("of")).distinct(), F.floor(F.shiftright("key", 32) / 33) == F.col("of"), "left_semi").distinct()
+    keys = keys.select(F.col("key").alias("hot"))
+    marked = entries.join(F.broadcast(keys) if count <= BROADCAST_SEGMENTS else keys, F.col("key") == F.col("hot"), "left")
+    other = F.when(F.shiftright("key", 32) < 33, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp"))
+    cut = F.array(*(F.shiftleft((F.shiftrightunsigned(other, 8 * i).bitwiseAND(255) + (256 * (i + 1))).cast("long"), 39).bitwiseOR(F.col("key")) for i in range(4)))
+    return marked.select(F.explode(F.when(F.col("hot").isNull(), F.array("key")).otherwise(cut)).alias("key"), "bit", "fp")
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """(a, b): enough verified links between distinct fingerprints to connect all that are linked."""
     # fingerprints are small and their index entries are not: without a fixed number of partitions AQE would
     # join the small ones, and few tasks would make all entries
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = variants(distinct.select("fp").repartition(parts, "fp"))
-    found = keep(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_links, _LINKS))
+    entries = variants(distinct.select("fp").repartition(parts, "fp"))
+    hot = hot_segments(distinct)
+    if not hot.isEmpty():
+        entries = _dealt(entries, hot)
+    found = keep(entries.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_links, _LINKS))
     edges = found.where("key is null").select("a", "b")
     large = found.where("key is not null").select("key", "block", F.col("a").alias("fp"))
     if large.isEmpty():
@@ -216,29 +247,51 @@ def links(distinct: DataFrame) -> DataFrame:
     return edges.union(more)
 
 
+def _components(distinct: DataFrame) -> DataFrame:
+    """(fp, component) for every distinct fp; component is its smallest fp."""
+    parts = connected_components(links(distinct.select("fp")))
+    return distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs; component_id is the smallest id reachable.
 
-    Null and empty texts have no words, so fingerprint zero, and are linked like any other. Rows with equal
-    ids or texts are each returned. Null ids pass through and never become a component's id unless all of
-    its ids are null. Other columns of docs are not looked at. An empty table gives an empty result.
+    Null and empty texts have no words, so fingerprint zero, and are linked like any other; a text of any length
+    is hashed whole, in steps. Rows with equal ids or texts are each returned, and ties need no order. Null ids
+    pass through and never become a component's id unless all of its ids are null. Other columns of docs, with
+    whatever names, are not looked at. An empty table gives an empty result.
     """
     marked = keep(fingerprints(docs, id_col, text_col))
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    parts = connected_components(links(distinct.select("fp")))
-    joined = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    joined = _components(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     named = joined.join(roots, "component").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def _keyed_fingerprints():
+    def step(ids: list, one: list, two: list, texts: list) -> list[tuple]:
+        values = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64).tolist()
+        return list(zip(ids, one, two, values, strict=True))
+
+    return step
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents of docs whose id is their component's: one of each group, with all their columns.
+    """One document of each component of near-duplicates, with all its columns.
 
-    Of rows that repeat that id, one stays. Rows whose id is null cannot be told apart and all stay.
+    It is the one with the smallest id; ids that are null come last, and rows that share an id are told apart by
+    a hash of id and text. So rows that repeat an id with texts that are no near-duplicates all stay, each for
+    its own component, and of rows that agree in id and text one stays. Null and empty texts are one component.
+    Texts of any length count whole. Column names that the operator uses itself may occur in docs. An empty table
+    gives an empty result. Whole rows are shuffled once, by that hash, after equal ones have met in each task.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    once = docs.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    chosen = once.join(kept, once[id_col] == kept["_kept_id"], "left_semi")
-    return chosen.unionByName(docs.where(F.col(id_col).isNull()))
+    ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    # 128 bits tell apart all pairs of id and text; the id's own value is kept beside them for the order
+    key = [F.xxhash64(F.lit(n), ident.isNull(), ident, text.isNull(), text).alias(name) for n, name in ((1, "one"), (2, "two"))]
+    marked = keep(map_rows(docs.select(ident.cast("long").alias("id"), *key, text.alias("text")), ["id", "one", "two", "text"], _keyed_fingerprints, "id long, one long, two long, fp long"))
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "one", "two")
+    joined = _components(marked.groupBy("fp").agg(F.min(first).alias("first")))
+    kept = joined.groupBy("component").agg(F.min("first").alias("first")).select("first.one", "first.two")
+    rows = docs.select(*key, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    once = rows.groupBy("one", "two").agg(F.first("row").alias("row"))
+    return once.join(kept, ["one", "two"], "left_semi").select("row.*")

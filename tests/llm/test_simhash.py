@@ -85,4 +85,33 @@ def test_edge_tables(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r.doc_id is None, r.doc_id or 0, r.component_id) for r in simhash.near_duplicates(docs).collect())
     assert got == [(False, 3, 3), (False, 4, 3), (False, 5, 5), (False, 5, 5), (True, 0, 5)]
-    assert sorted((r.doc_id or 0) for r in simhash.deduplicate(docs).collect()) == [0, 3, 5]
+    assert sorted((r.doc_id or 0) for r in simhash.deduplicate(docs).collect()) == [3, 5]
+
+
+def test_deduplicate_loses_no_document(spark):
+    long = "w " * 60_000
+    rows = [(1, "alpha beta gamma delta", "a"), (1, "totally different words here now", "b"), (2, "and a third text of its own", "c"), (None, "one more without an id", "d"), (None, "one more without an id", "e"), (None, None, "f"), (None, "", "g"), (9, long, "h"), (8, long, "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, one string").withColumnsRenamed({"one": "row"})
+    clash = docs.selectExpr("doc_id", "text", "row", "row as one", "row as fp", "row as component")
+    for frame in (docs, clash):
+        got = simhash.deduplicate(frame)
+        assert got.columns == frame.columns
+        found = sorted((r.doc_id or 0, r.text or "", r.row) for r in got.collect())
+        assert [f[:2] for f in found] == sorted([(1, rows[0][1]), (1, rows[1][1]), (2, rows[2][1]), (0, rows[3][1]), (0, ""), (8, long)])
+
+
+def test_hot_segments_are_dealt_by_the_other_ones_bytes(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(simhash, "BLOCK", 64)
+    base = [(int(x) << 32 | 99, 99 << 32 | int(x)) for x in rng.integers(0, 1 << 31, 250)]
+    base = [y for x in base for y in x]
+    flipped = [x ^ (1 << int(a)) ^ (1 << int(b)) ^ (1 << int(c)) for x in base[:300] for a, b, c in [rng.integers(0, 63, 3)]]
+    seen = sorted(set(base + flipped))
+    frame = spark.createDataFrame([(x,) for x in seen], "fp long")
+    assert simhash.hot_segments(frame).count() == 2
+    sizes = {r.key: r["count"] for r in simhash._dealt(simhash.variants(frame), simhash.hot_segments(frame)).groupBy("key").count().collect()}
+    assert max(sizes.values()) < 64
+    edges = [tuple(r) for r in simhash.links(frame).collect()]
+    pairs = [(a, b) for a in seen for b in seen if a < b and (a ^ b).bit_count() <= 3]
+    assert all((a ^ b).bit_count() <= 3 for a, b in edges) and len(pairs) > 200
+    assert slow_components(edges, seen) == slow_components(pairs, seen)
