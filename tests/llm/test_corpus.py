@@ -87,7 +87,7 @@ def test_mixing_meets_its_targets(spark, monkeypatch):
 
 
 def test_each_fraction_is_kept_in_expectation(spark):
-    rows = spark.createDataFrame([("s", i, i, 10 + i % 3, 0, 0.05 + 0.9 * (i % 10) / 10) for i in range(40)], "source string, id long, salt long, size long, whole long, p double")
+    rows = spark.createDataFrame([("s", i, i, 0, 10 + i % 3, 0, 0.05 + 0.9 * (i % 10) / 10) for i in range(40)], "source string, id long, salt long, nth long, size long, whole long, p double")
     total = np.zeros(40)
     runs = 16
     for seed in range(runs):
@@ -106,6 +106,31 @@ def test_mixing_edges(spark):
     assert {(r.target, r.copies) for r in mixing.mix(blank).collect()} == {(0.0, 0)}
 
 
+def test_apply_mix_takes_any_columns_and_many_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "REPEATS", 16)
+    monkeypatch.setattr(mixing, "GROUP", 8)
+    rows = [(1, "w " * 9, "a", 5, "x", 1, 2), (None, "same words", "b", 5, "y", 1, 2), (4, "long " * 30_000, "b", 0, None, 1, 2), (5, "d e f", "c", 0, None, 1, 2)]
+    rows = rows[:1] * 300 + rows[1:2] * 200 + rows[2:] + [(None, "same words", "b", i, "z", 1, 2) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int, _n string, row int, portion int")
+    got = mixing.apply_mix(docs)
+    assert got.columns == docs.columns
+    taken = got.collect()
+    decided = mixing.mix(docs).collect()
+    assert len(decided) == len(rows) and len(taken) == sum(r.copies for r in decided)
+    assert {tuple(r) for r in taken} <= set(rows)
+    want = {}
+    for r in decided:
+        want[r.id, r.source, r.size] = want.get((r.id, r.source, r.size), 0) + r.copies
+    have = {}
+    for r in taken:
+        k = (r.doc_id, r.source, len(r.text.split()))
+        have[k] = have.get(k, 0) + 1
+    assert have == {k: v for k, v in want.items() if v}
+    # a row is taken its whole number of times or once more, also among rows that differ in other columns only
+    each = [sum(1 for t in taken if t.copies == i and t._n == "z") for i in range(50)]
+    assert max(each) - min(each) <= 1
+
+
 # ---- embeddings ----
 
 
