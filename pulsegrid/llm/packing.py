@@ -2,9 +2,10 @@
 
 A document's ids and one closing id are cut into pieces of the sequence length and a rest. Full pieces are
 sequences of their own. The rests are packed on their histogram alone (Krell et al., "Efficient Sequence
-Packing without Cross-contamination", 2021): lengths go longest first, each into the packs with the most
-room left, whole groups of equal packs at a time. That gives a few packing patterns with counts. Patterns
-meet documents by rank: the k-th rest of a length takes the k-th place that the patterns have for it.
+Packing without Cross-contamination", 2021): lengths go longest first, each rest into the shortest pack, that
+with the most room left, and a new pack where none has room; equal packs take one rest each at a time. That
+gives a few packing patterns with counts. Patterns meet documents by rank: the k-th rest of a length takes the
+k-th place that the patterns have for it.
 
 The driver sees one count for each length and bucket group, never a row of a document. The patterns are
 at most twice as many as there are lengths, and a pattern has at most sqrt(2 * size) different lengths,
@@ -35,8 +36,9 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Chunks whose ids a worker remembers, and the characters of texts that it encodes at once.
 REMEMBERED = 400_000
 GROUP_CHARS = 1 << 20
-#: Rests of one length that are ranked together in one group, on average.
-RANK_GROUP = 1_000
+#: Rests of one length that are ranked together in one group, on average, and the most groups of a length, whose
+#: counts one task sums up; beyond that groups grow.
+RANK_GROUP, RANK_GROUPS = 200, 100_000
 
 
 @lru_cache(maxsize=4)
@@ -161,7 +163,8 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, id_col: str = "doc_id",
 def patterns(histogram: dict[int, int], size: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
     """Packing patterns (count, ((length, times), ...)) for a histogram of lengths from 1 to size - 1.
 
-    Longest first, each length goes to the packs with the most room, as often as it fits into one of them.
+    Longest first, each rest goes to the shortest pack, one at a time; a group of equal packs takes one each in
+    one step. Where none has room, a new pack is the shortest until it is full, so that many packs open at once.
     """
     room: dict[int, list[tuple[int, tuple[tuple[int, int], ...]]]] = defaultdict(list)
     for length in sorted((n for n, c in histogram.items() if c), reverse=True):
@@ -170,20 +173,18 @@ def patterns(histogram: dict[int, int], size: int) -> list[tuple[int, tuple[tupl
             most = max((r for r, packs in room.items() if packs), default=0)
             if most < length:
                 fits = size // length
-                if count >= fits:
-                    packs, times = count // fits, fits
-                else:
-                    packs, times = 1, count
+                packs, times = (count // fits, fits) if count >= fits else (1, count)
                 room[size - times * length].append((packs, ((length, times),)))
                 count -= packs * times
                 continue
             packs, held = room[most].pop()
-            times = min(most // length, count)
-            use = min(packs, count // times)
+            use = min(packs, count)
             if use < packs:
                 room[most].append((packs - use, held))
-            room[most - times * length].append((use, (*held, (length, times))))
-            count -= use * times
+            again = held[-1][0] == length
+            more = (*held[:-1], (length, held[-1][1] + 1)) if again else (*held, (length, 1))
+            room[most - length].append((use, more))
+            count -= use
     return [p for packs in room.values() for p in packs]
 
 
@@ -228,11 +229,11 @@ def _placed(df: DataFrame, at: dict[str, np.ndarray], first: int, span: int) ->
 def _ranked(df: DataFrame, group: str, order: list[str], counts: dict[int, int]) -> DataFrame:
     """Adds rank, 0 to n - 1 within each value of group (a long), without gathering a value in one task.
 
-    counts: rows of each value, which are at most as many as there are lengths. Each value is dealt by hash
-    into groups of about RANK_GROUP rows; rows are numbered within these, and the groups' counts give each
-    group its first rank.
+    counts: rows of each value, which are at most as many as there are lengths. Each value is dealt by hash of
+    order, which tells all rows apart, into groups of about RANK_GROUP rows; rows are numbered within these, and
+    the groups' counts give each group its first rank.
     """
-    many = {v: -(-n // RANK_GROUP) for v, n in counts.items() if n > RANK_GROUP}
+    many = {v: min(RANK_GROUPS, -(-n // RANK_GROUP)) for v, n in counts.items() if n > RANK_GROUP}
     parts = F.coalesce(F.create_map(*(F.lit(x) for pair in many.items() for x in pair))[F.col(group)], F.lit(1)) if many else F.lit(1)
     dealt = df.withColumn("part", F.pmod(F.xxhash64(*order), parts))
     key = [group, "part"]
@@ -246,17 +247,18 @@ def _ranked(df: DataFrame, group: str, order: list[str], counts: dict[int, int])
 def pack(docs: DataFrame, path: str, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: the columns of ``pieces``, sequence_id and offset.
 
-    Sequences are numbered from 0: first those of full pieces, then the packed ones. Within a sequence
-    offsets have no gaps. Null and empty texts have the closing id alone. Repeated rows are packed once
-    each; null ids stay null. Other columns are not read. An empty table gives an empty result.
+    Sequences are numbered from 0: first those of full pieces, then the packed ones. Within a sequence offsets
+    have no gaps. Null and empty texts have the closing id alone; long texts are encoded whole and cut into
+    pieces. Repeated rows are packed once each, told apart by their place in the checkpoint; null ids stay null.
+    Other columns, whatever their names, are not read. An empty table gives an empty result.
     """
-    cut = keep(pieces(docs, path, size, id_col, text_col))
-    order = ["doc_id", "start", "ids_crc32"]
+    cut = keep(pieces(docs, path, size, id_col, text_col)).withColumn("row", F.monotonically_increasing_id())
+    order = ["doc_id", "start", "ids_crc32", "row"]
     histogram = {r.length: r.n for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     full = histogram.pop(size, 0)
     at = places(patterns(histogram, size))
     span = max([1, *histogram.values()]) + 1
-    ranked = _ranked(cut, "length", order, histogram | {size: full})
+    ranked = _ranked(cut, "length", order, histogram | {size: full}).drop("row")
     whole = ranked.where(F.col("length") == size).withColumns({"sequence_id": F.col("rank"), "offset": F.lit(0).cast("long")}).drop("rank")
     if not histogram:
         return whole

@@ -104,6 +104,33 @@ def test_patterns_hold_each_rest_once_and_fit(histogram):
     assert len(at["length"]) == sum(len(h) for _, h in found)
 
 
+def slow_packs(histogram, size):
+    packs = []
+    for n in sorted(histogram, reverse=True):
+        for _ in range(histogram[n]):
+            at = min(range(len(packs)), key=lambda i: sum(packs[i]), default=None)
+            if at is None or sum(packs[at]) + n > size:
+                packs.append([n])
+            else:
+                packs[at].append(n)
+    return sorted(sorted(p) for p in packs)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.dictionaries(st.integers(1, 31), st.integers(0, 12), max_size=10))
+def test_patterns_are_those_of_packing_one_rest_after_another(histogram):
+    found = sorted(sorted(n for n, k in held for _ in range(k)) for count, held in packing.patterns(histogram, 32) for _ in range(count))
+    slow = slow_packs(histogram, 32)
+    assert len(found) == len(slow) and sorted(map(sum, found)) == sorted(map(sum, slow))
+
+
+def test_repeated_rows_are_ranked_in_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANK_GROUP", 10)
+    docs = spark.createDataFrame([(None, "the same words again")] * 400, "doc_id long, text string")
+    got = packing.pack(docs, BYTES).collect()
+    assert len({(r.sequence_id, r.offset) for r in got}) == 400 and sum(r.length for r in got) <= 1024 * len({r.sequence_id for r in got})
+
+
 def test_packing_rows(spark, monkeypatch):
     monkeypatch.setattr(packing, "RANK_GROUP", 7)
     rng = random.Random(4)
