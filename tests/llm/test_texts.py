@@ -267,6 +267,54 @@ def test_main_text_keeps_elements_with_slug_ids():
     assert html.main_text(f'<body><div id="site-footer"><p>{words}</p></div><div>{slugs}</div></body>').startswith("Social impact")
 
 
+def test_main_text_survives_layout_classes():
+    words = "with the words of a paragraph that belongs to the story"
+    body = f"<h1>Title</h1><p>one {words}</p><p>two {words}</p>"
+    for name in ("no-sidebar", "with-sidebar content", "comments-open hentry", "post social-science", "content has-sidebar-right", "td-menu-background", "wrapper header-fixed", "alert-free"):
+        for page in (f'<div class="{name}">{body}</div>', f'<div class="{name}"><article>{body}</article></div>', f'<body><div id=menu>x</div><section class="{name}">{body}</section></body>'):
+            assert html.main_text(page).split("\n") == ["Title", f"one {words}", f"two {words}"], (name, page)
+    assert html.main_text(f'<div class="sidebar"><article>{body}</article></div>').startswith("Title")
+    cards = f'<div class="sidebar"><article><p>teaser {words}</p></article></div><div id="comments"><article class="comment"><p>mine {words} {words}</p></article></div>'
+    assert html.main_text(f"<body><article>{body}</article>{cards}</body>") == html.main_text(f"<article>{body}</article>")
+    assert html.main_text('<div class="ad">only an advert</div>') == ""
+
+
+def test_link_runs_inside_an_article_are_menus_by_their_ratios():
+    words = "a paragraph of the story with many words in it that goes on for a while " * 3
+    menu = "<ul>" + "".join(f"<li><a href=/{i}>part {i}</a></li>" for i in range(5)) + "</ul>"
+    page = f"<article><h1><a href=/>Title</a></h1><p>{words}</p>{menu}<p><a href=x>One link.</a></p>plain<p>{words}</p></article>"
+    got = html.main_text(page).split("\n")
+    assert got == ["Title", words.strip(), "One link.", "plain", words.strip()]
+    few = page.replace(menu, "<ul><li><a href=/1>part 1</a><li><a href=/2>part 2</a></ul>")
+    assert "part 1\npart 2" in html.main_text(few)
+
+
+def test_main_text_takes_linear_time():
+    import time
+
+    for page in ("<b>" * 100_000 + "text", "<div>" * 50_000 + "text" + "</div>" * 50_000, "<b>" * 50_000 + "<hr>" * 50_000, "<div><article>" + "<b>x" * 50_000 + "</div>" * 50_000, "<p>a<li>b" * 40_000, "<div class=ad>" * 30_000 + "text"):
+        began = time.process_time()
+        html.main_text(page)
+        assert time.process_time() - began < 6, page[:30]
+
+
+def test_content_lines_equal_a_slow_version():
+    import math
+
+    rng = random.Random(4)
+    for _ in range(40):
+        lines = [("x" * rng.choice([1, 5, 40, 200, 900]), rng.randrange(0, 9), 0, False) for _ in range(rng.randrange(1, 40))]
+        ratios = [len(t) / max(1, n) for t, n, *_ in lines]
+        mean = sum(ratios) / len(ratios)
+        least = html.THRESHOLD * math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
+        weight = lambda i, j: math.exp(-0.5 * ((i - j) / html.SIGMA) ** 2) if abs(i - j) <= 3 * html.SIGMA else 0.0
+        n = range(len(lines))
+        slow = [sum(weight(i, j) * ratios[j] for j in n) / sum(weight(i, j) for j in n) for i in n]
+        content, strong = html.content_lines(lines)
+        assert all(c == (s >= least) or abs(s - least) < 1e-9 for c, s in zip(content.tolist(), slow, strict=True))
+        assert strong.tolist() == [bool(c) and r >= least for c, r in zip(content, ratios, strict=True)]
+
+
 def test_smoothing_keeps_a_constant():
     assert np.allclose(html.smooth(np.full(9, 3.0)), 3.0)
 
