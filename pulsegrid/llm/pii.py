@@ -2,9 +2,10 @@
 
 The patterns give the base spans, exactly as defined. The field then reads each text's places that may
 hold personal data (any digit, @ sign, or spelled-out "dot" or "(at)", with the words around them) as
-tokens, with word-shape features of the token and its neighbours. It is trained by maximum likelihood on
-the small labelled table below and decoded by Viterbi over numpy batches of windows. Its spans are added
-where they overlap no base span: numbers without a plus sign, addresses that are spelled out, and so on.
+tokens, with word-shape features of the token and its neighbours. Its states tell where a span begins and
+where it goes on, so neighbours of one kind stay apart. It is trained by maximum likelihood on the small
+labelled table below and decoded by Viterbi over numpy batches of windows. Its spans are added where they
+overlap no base span: numbers without a plus sign, addresses that are spelled out, and so on.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import groupby
+from itertools import accumulate
+from sys import intern
 
 import numpy as np
 import pandas as pd
@@ -83,17 +85,18 @@ def base_spans(text: str | None) -> list[Span]:
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\S")
 TRIGGER = re.compile(r"[0-9@]")
 SPELLED = re.compile(r"[0-9@]|\b[dD][oO][tT]\b|[\[(] ?[aA][tT] ?[\])]")
+SPACE = re.compile(r"\s")
 #: Characters on either side of a trigger that a window holds at least.
 AROUND = 48
-#: Windows decoded together, which bounds a batch's memory along with their length.
-WINDOWS = 512
-#: Longer windows are cut at white space.
-LONGEST_WINDOW = 4096
-#: What a window shares with the one it was cut from: a span of LONGEST_SPAN and AROUND on either side of the middle.
-LONGEST_SPAN = 320
-OVERLAP = 2 * (LONGEST_SPAN + AROUND)
-
-# The small labelled table. {kind|text} marks a span; the rest is outside.
+#: Places of a batch of windows that are decoded together, and of a long window whose scores are held at once; this
+#: bounds a batch's memory, while a window may have any length.
+CELLS, STEP = 1 << 17, 1 << 13
+#: Characters of texts whose windows are decoded together.
+GROUP_CHARS = 1 << 20
+#: The states: outside, then for each kind its first token and its further ones.
+STATES = 1 + 2 * len(KINDS)
+
+# The small labelled table. {kind|text} marks a span; the rest is outside; ¶ is a line's end.
 TABLE = """
 mail me at {email|jo.doe (at) site (dot) org} tomorrow
 write to {email|ann at mail dot example dot com} please
@@ -130,6 +133,29 @@ at {ip|29.217.126.147} the
 ip {ip|70 . 128 . 13 . 106} was
 server {ip|8.8.4.4} replied
 ping {ip|172[.]16[.]254[.]1} first
+ring {phone|(743) 555-3824}, {phone|(743) 555-3825} now
+call {phone|(512) 555-0101} and then {phone|(512) 555-0102} and then {phone|(512) 555-0103}
+¶{phone|(319) 555-5132}¶{phone|(319) 555-5133}¶{phone|(319) 555-5134}¶
+¶{phone|743-555-0148}¶{phone|743-555-0199}¶{phone|743-555-0201}¶
+¶{phone|743.555.0148}¶{phone|743.555.0199}¶{phone|743.555.0201}¶
+dial {phone|743-555-0148}, {phone|743-555-0199} or {phone|743.555.0201}
+¶{phone|06 12 34 56 78}¶{phone|06 22 34 56 79}¶{phone|01 12 34 56 70}¶
+les {phone|06 12 34 56 78}, {phone|06 12 34 56 79} et {phone|01 44 34 56 70} le soir
+tel {phone|030 1234567}, {phone|030 7654321} oder {phone|0743 555 3824}
+¶{phone|555-0173}¶{phone|555-0174}¶ at home
+¶{card|4387 5130 3523 7269}¶{card|4405 2405 8902 1364}¶
+cards {card|4387-5130-3523-7269}, {card|4405-2405-8902-1364} and {card|3782 822463 10005}
+¶{card|4387513035237269}¶{card|4186133740741811}¶
+from {ip|10.0.0.1}, {ip|10.0.0.2} and {ip|192 . 168 . 0 . 3}
+¶{ip|10.0.0.1}¶{ip|172[.]16[.]0[.]9}¶{ip|10.0.0.2}¶
+¶{email|ann (at) mail (dot) org}¶{email|bob (at) mail (dot) org}¶
+ask {email|ann at mail dot org}, {email|bob at mail dot org} or {email|lu [at] shop [dot] net}
+it was {email|maria at web dot de} or not
+so {email|jo at ibm dot com} and her
+the {email|karl at inn dot com} is old
+that {phone|01 23 45 67 89} is old
+it was {phone|05 60 71 82 93} or not
+and {phone|03 14 15 92 65} to go
 licensed under CC BY-NC 4.0.
 the GNU General Public License , version 3.
 the Apache License , Version 2.0.
@@ -181,86 +207,111 @@ def shape(token: str) -> str:
 
 
 def tokens(text: str, start: int, end: int) -> tuple[list[str], list[int], list[int]]:
-    """Shapes with a note of the space before, and the starts and ends, of a window's tokens."""
+    """Shapes with a note of the space or line's end before, and the starts and ends, of a window's tokens."""
     shapes, starts, ends = [], [], []
     last = start
     for m in TOKEN.finditer(text, start, end):
-        shapes.append(shape(m[0]) + ("_" if m.start() > last else ""))
-        starts.append(m.start())
-        ends.append(m.end())
+        at = m.start()
+        gap = "" if at == last else "/" if "\n" in text[last:at] else "_"
+        shapes.append(intern(shape(m[0]) + gap))
+        starts.append(at)
         last = m.end()
+        ends.append(last)
     return shapes, starts, ends
 
 
-def features(shapes: list[str]) -> list[tuple[str, ...]]:
-    """Of each token: its shape, those up to two away on either side, and pairs of neighbours."""
-    n = len(shapes)
-    s = ["<<", "<", *shapes, ">", ">>"]
-    bare = [x.rstrip("_")[:1] for x in s]
+def features(shapes: list[str], first: int = 0, stop: int | None = None) -> list[tuple[str, ...]]:
+    """Of the tokens from first to stop: the shape, those up to two away on either side, and pairs of neighbours."""
+    stop = len(shapes) if stop is None else min(stop, len(shapes))
+    before, behind = ["<<", "<", *shapes[max(0, first - 2) : first]][-2:], [*shapes[stop : stop + 2], ">", ">>"][:2]
+    s = [*before, *shapes[first:stop], *behind]
+    bare = [x.rstrip("_/")[:1] for x in s]
     out = []
-    for i in range(2, n + 2):
+    for i in range(2, stop - first + 2):
         kinds = "".join(bare[i - 2 : i + 3])
         out.append(("b", "0" + s[i], "-" + s[i - 1], "+" + s[i + 1], "--" + s[i - 2], "++" + s[i + 2], "p" + s[i - 1] + "|" + s[i], "n" + s[i] + "|" + s[i + 1], "k" + kinds))
     return out
 
 
 def labelled() -> list[tuple[list[str], list[int]]]:
-    """The table as sequences of shapes with states (0: outside, then KINDS)."""
+    """The table as sequences of shapes with states."""
     rows = []
     for line in TABLE.strip().split("\n"):
         text, marks = "", []
-        for part in re.split(r"(\{\w+\|[^}]*\})", line):
+        for part in re.split(r"(\{\w+\|[^}]*\})", line.replace("¶", "\n")):
             if part.startswith("{"):
                 kind, _, inner = part[1:-1].partition("|")
-                marks.append((len(text), len(text) + len(inner), 1 + KINDS.index(kind)))
+                marks.append((len(text), len(text) + len(inner), 1 + 2 * KINDS.index(kind)))
                 text += inner
             else:
                 text += part
         shapes, starts, _ = tokens(text, 0, len(text))
-        rows.append((shapes, [next((k for a, b, k in marks if a <= at < b), OUTSIDE) for at in starts]))
+        rows.append((shapes, [next((k + (a < at) for a, b, k in marks if a <= at < b), OUTSIDE) for at in starts]))
     return rows
 
 
+def allowed() -> np.ndarray:
+    """0 for moves between states that can follow each other, else a very low score: a span goes on only as its own kind."""
+    out = np.zeros((STATES, STATES))
+    for further in range(2, STATES, 2):
+        out[:, further] = -1e4
+        out[further - 1, further] = out[further, further] = 0.0
+    return out
+
+
 class Field:
     """A linear-chain conditional random field: weights of features by state, and of state pairs."""
 
     def __init__(self, index: dict[str, int], emit: np.ndarray, move: np.ndarray):
         self.index, self.emit, self.move = index, emit, move
 
-    def scores(self, shapes: list[str]) -> np.ndarray:
+    def scores(self, shapes: list[str], first: int = 0, stop: int | None = None) -> np.ndarray:
         none = len(self.index)  # features that training has not seen weigh nothing
         get = self.index.get
-        return self.emit[np.array([[get(f, none) for f in fs] for fs in features(shapes)])].sum(axis=1)
+        return self.emit[np.array([[get(f, none) for f in fs] for fs in features(shapes, first, stop)])].sum(axis=1)
 
     def decode(self, windows: list[list[str]]) -> list[np.ndarray]:
-        """The best states of each window, by Viterbi over all windows of a batch at once."""
+        """The best states of each window, by Viterbi over batches of windows of like length."""
         out: list[np.ndarray] = [np.empty(0, np.int64)] * len(windows)
         order = sorted((i for i in range(len(windows)) if windows[i]), key=lambda i: len(windows[i]))
-        for at in range(0, len(order), WINDOWS):
-            batch = order[at : at + WINDOWS]
-            sizes = np.array([len(windows[i]) for i in batch])
-            scores = np.zeros((len(batch), sizes.max(), self.emit.shape[1]))
-            for row, i in enumerate(batch):
-                scores[row, : sizes[row]] = self.scores(windows[i])
-            best = scores[:, 0]
-            came = np.zeros(scores.shape, np.int8)
-            finals = best.copy()
-            for t in range(1, scores.shape[1]):
-                paths = best[:, :, None] + self.move
-                came[:, t] = paths.argmax(axis=1)
-                best = paths.max(axis=1) + scores[:, t]
-                alive = sizes > t
-                finals[alive] = best[alive]
-            states = finals.argmax(axis=1)
-            path = np.zeros(scores.shape[:2], np.int64)
-            for t in range(scores.shape[1] - 1, -1, -1):
-                live = sizes > t
-                path[live, t] = states[live]
-                states = np.where(live, came[np.arange(len(batch)), t, states], states)
-            for row, i in enumerate(batch):
-                out[i] = path[row, : sizes[row]]
+        at = 0
+        while at < len(order):
+            end = at + 1
+            while end < len(order) and (end + 1 - at) * len(windows[order[end]]) <= CELLS:
+                end += 1
+            batch = order[at:end]
+            for i, path in zip(batch, self._viterbi([windows[i] for i in batch]), strict=True):
+                out[i] = path
+            at = end
         return out
 
+    def _viterbi(self, batch: list[list[str]]) -> list[np.ndarray]:
+        sizes = np.array([len(w) for w in batch])
+        came = np.zeros((len(batch), sizes.max(), STATES), np.int8)
+        best = finals = allowed()[OUTSIDE][None].repeat(len(batch), axis=0)
+        for first in range(0, came.shape[1], STEP):
+            scores = np.zeros((len(batch), min(STEP, came.shape[1] - first), STATES))
+            for row, w in enumerate(batch):
+                if len(w) > first:
+                    found = self.scores(w, first, first + STEP)
+                    scores[row, : len(found)] = found
+            for t in range(scores.shape[1]):
+                if first + t:
+                    paths = best[:, :, None] + self.move
+                    came[:, first + t] = paths.argmax(axis=1)
+                    best = paths.max(axis=1) + scores[:, t]
+                else:
+                    best = best + scores[:, t]
+                finals = np.where((sizes > first + t)[:, None], best, finals)
+        states = finals.argmax(axis=1)
+        path = np.zeros(came.shape[:2], np.int8)
+        rows = np.arange(len(batch))
+        for t in range(came.shape[1] - 1, -1, -1):
+            live = sizes > t
+            path[live, t] = states[live]
+            states = np.where(live, came[rows, t, states], states)
+        return [path[row, :n] for row, n in enumerate(sizes.tolist())]
+
 
 @lru_cache(maxsize=1)
 def trained() -> Field:
@@ -271,7 +322,7 @@ def trained() -> Field:
         for fs in features(shapes):
             for f in fs:
                 index.setdefault(f, len(index))
-    k, width = 1 + len(KINDS), max(len(s) for s, _ in rows)
+    k, width, mask_moves = STATES, max(len(s) for s, _ in rows), allowed()
     ids = np.full((len(rows), width, 9), len(index))
     gold = np.zeros((len(rows), width), np.int64)
     mask = np.zeros((len(rows), width))
@@ -285,17 +336,19 @@ def trained() -> Field:
     gold_moves = np.einsum("rti,rtj->ij", onehot[:, :-1], onehot[:, 1:])
     for _ in range(EPOCHS):
         scores = emit[ids].sum(axis=2)
+        scores[:, 0] += mask_moves[OUTSIDE]
+        moves_now = move + mask_moves
         ahead, back = np.zeros_like(scores), np.zeros_like(scores)
         ahead[:, 0] = scores[:, 0]
         for t in range(1, width):
-            step = np.logaddexp.reduce(ahead[:, t - 1, :, None] + move, axis=1) + scores[:, t]
+            step = np.logaddexp.reduce(ahead[:, t - 1, :, None] + moves_now, axis=1) + scores[:, t]
             ahead[:, t] = np.where(mask[:, t, None] > 0, step, ahead[:, t - 1])
         for t in range(width - 2, -1, -1):
-            step = np.logaddexp.reduce(move + (scores[:, t + 1] + back[:, t + 1])[:, None, :], axis=2)
+            step = np.logaddexp.reduce(moves_now + (scores[:, t + 1] + back[:, t + 1])[:, None, :], axis=2)
             back[:, t] = np.where(mask[:, t + 1, None] > 0, step, 0.0)
         total = np.logaddexp.reduce(ahead[:, -1], axis=1)
         at = np.exp(ahead + back - total[:, None, None]) * mask[:, :, None]
-        pairs = ahead[:, :-1, :, None] + move + (scores[:, 1:] + back[:, 1:])[:, :, None, :] - total[:, None, None, None]
+        pairs = ahead[:, :-1, :, None] + moves_now + (scores[:, 1:] + back[:, 1:])[:, :, None, :] - total[:, None, None, None]
         moves = (np.exp(pairs) * mask[:, 1:, None, None]).sum(axis=(0, 1))
         grad_e = np.zeros_like(emit)
         np.add.at(grad_e, ids, (onehot - at)[:, :, None, :])
@@ -307,33 +360,24 @@ def trained() -> Field:
         emit += RATE * grad_e / np.sqrt(sum_e)
         move += RATE * grad_m / np.sqrt(sum_m)
     emit[-1] = 0
-    return Field(index, emit, move)
+    return Field(index, emit, move + mask_moves)
 
 
 def _windows(text: str) -> list[tuple[int, int]]:
-    """The places around triggers, widened to white space and joined where they meet.
-
-    Where that would be longer than LONGEST_WINDOW, the next one starts OVERLAP before the last one's end.
-    """
+    """The places around triggers, widened to white space and joined where they meet; they may have any length."""
     out: list[tuple[int, int]] = []
     at = 0
     low = text.lower()
     trigger = SPELLED if "dot" in low or "at)" in low or "at ]" in low or "at]" in low or "at )" in low else TRIGGER
     while m := trigger.search(text, at):
-        start, end = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
-        while start > 0 and not text[start - 1].isspace() and m.start() - start < LONGEST_WINDOW:
+        least = out[-1][1] if out else 0
+        start = max(0, m.start() - AROUND)
+        while start > least and not text[start - 1].isspace():
             start -= 1
-        while end < len(text) and not text[end].isspace() and end - m.end() < LONGEST_WINDOW:
-            end += 1
-        if out and start <= out[-1][1] and end - out[-1][0] <= LONGEST_WINDOW:
-            out[-1] = (out[-1][0], end)
-        elif out and start <= out[-1][1]:
-            first, last = out[-1]
-            start = max(first, last - OVERLAP)
-            while start > first and not text[start - 1].isspace() and last - start < LONGEST_WINDOW:
-                start -= 1
-            if end > last:
-                out.append((start, end))
+        found = SPACE.search(text, min(len(text), m.end() + AROUND))
+        end = found.start() if found else len(text)
+        if out and start <= least:
+            out[-1] = (out[-1][0], max(least, end))
         else:
             out.append((start, end))
         at = max(m.end(), end - AROUND)
@@ -358,29 +402,47 @@ def _plausible(kind: str, text: str) -> bool:
 
 def find_all(texts: list[str | None], field: Field) -> list[list[tuple[str, int, int, bool]]]:
     """All spans of whole texts: (kind, start, end, base), by kind as listed, then by start."""
-    bases = [base_spans(t) for t in texts]
+    out: list[list[tuple[str, int, int, bool]]] = []
+    group: list[str] = []
+    for text in texts:
+        group.append(text or "")
+        if sum(map(len, group)) >= GROUP_CHARS:
+            out += _found(group, field)
+            group = []
+    return out + _found(group, field)
+
+
+def proposed(texts: list[str], field: Field) -> list[list[Span]]:
+    """The field's own spans of each text, before any check."""
     where, shapes, places = [], [], []
     for i, text in enumerate(texts):
-        windows = _windows(text) if text else []
-        # of two windows that overlap, the middle of what they share decides which one a span is taken from
-        middles = [(a + b) // 2 if a < b else a for (_, b), (a, _) in zip(windows, windows[1:], strict=False)]
-        for (start, end), own in zip(windows, zip([0, *middles], [*middles, len(text or "")], strict=True), strict=False):
+        for start, end in _windows(text):
             got = tokens(text, start, end)
-            where.append((i, own))
+            where.append(i)
             shapes.append(got[0])
             places.append(got[1:])
-    more: list[list[Span]] = [[] for _ in texts]
-    for (i, (own, until)), (starts, ends), states in zip(where, places, field.decode(shapes), strict=True):
-        at = 0
-        for state, run in groupby(states.tolist()):
-            n = len(list(run))
-            if state != OUTSIDE:
-                start, end, kind = starts[at], ends[at + n - 1], KINDS[state - 1]
-                taken = end <= own or start >= until or bool(more[i]) and start < more[i][-1][2]
-                if not taken and _plausible(kind, texts[i][start:end]) and not any(s < end and start < e for _, s, e in bases[i]):
-                    more[i].append((kind, start, end))
-            at += n
-    return [sorted([(*s, True) for s in b] + [(*s, False) for s in m], key=lambda s: (KINDS.index(s[0]), s[1], s[2])) for b, m in zip(bases, more, strict=True)]
+    out: list[list[Span]] = [[] for _ in texts]
+    for i, (starts, ends), states in zip(where, places, field.decode(shapes), strict=True):
+        first = np.flatnonzero(states % 2 == 1)
+        last = np.append(np.flatnonzero((states[:-1] != OUTSIDE) & (states[1:] % 2 == 1) | (states[:-1] != OUTSIDE) & (states[1:] == OUTSIDE)), [len(states) - 1] if len(states) and states[-1] else []).astype(int)
+        out[i] += [(KINDS[(int(states[a]) - 1) // 2], starts[a], ends[b]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+    return out
+
+
+def _found(texts: list[str], field: Field) -> list[list[tuple[str, int, int, bool]]]:
+    out = []
+    for text, more in zip(texts, proposed(texts, field), strict=True):
+        base = base_spans(text)
+        at, taken = 0, sorted((s, e) for _, s, e in base)
+        ends = list(accumulate((e for _, e in taken), max))
+        rows = [(*s, True) for s in base]
+        for kind, start, end in more:  # in order of their places
+            while at < len(taken) and ends[at] <= start:
+                at += 1
+            if not (at < len(taken) and taken[at][0] < end) and _plausible(kind, text[start:end]):
+                rows.append((kind, start, end, False))
+        out.append(sorted(rows, key=lambda s: (KINDS.index(s[0]), s[1], s[2])))
+    return out
 
 
 def _spans(field: Field):
@@ -393,9 +455,10 @@ def _spans(field: Field):
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, spans) for every row: spans is an array of kind, start, end (exclusive) and base.
 
-    Places are code points of the whole text. Null and empty texts have no spans. Null ids and repeated
-    rows pass through. Other columns are not read. An empty table gives an empty result; nothing is
-    shuffled. The field's weights, a few thousand numbers fixed by the table, travel with the function.
+    Places are code points of the whole text, of any length: windows are never cut. Null and empty texts have no
+    spans. Null ids and repeated rows pass through, ties need no order. Other columns, whatever their names, are
+    not read. An empty table gives an empty result; nothing is shuffled. The field's weights, some thousand numbers
+    fixed by the table, travel with the function.
     """
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, spans array<struct<kind: string, start: long, end: long, base: boolean>>"
@@ -416,7 +479,8 @@ def masked(text: str, spans: list[tuple[str, int, int, bool]]) -> str:
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """docs with personal data in the text replaced by names of kinds, and its length column renewed.
 
-    Columns, their order and the number of rows stay; null texts stay null.
+    Columns, their order and the number of rows stay, repeated rows and null ids among them; null texts stay null,
+    empty ones empty, long ones are read whole. Other columns may have any names. An empty table stays empty.
     """
     ship(docs.sparkSession)
     field = trained()
