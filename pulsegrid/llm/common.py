@@ -57,7 +57,7 @@ def map_rows(
     """
     ship(df.sparkSession)
     picked = df.select(*columns)
-    arrow = _arrow_schema(df.sparkSession, schema)
+    arrow = arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make(*args)
@@ -74,7 +74,7 @@ def map_rows(
     return picked.mapInArrow(run, schema)
 
 
-def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
+def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 

@@ -4,7 +4,8 @@ A payload of bytes is stored as the samples of a mono 8-bit WAV file, without lo
 stored bytes. Features come from what was read: a polyphase filter resamples to half the rate, overlapped
 frames give log-mel filterbank energies, and a hysteresis on the frame energies (it opens above a high
 threshold and closes below a low one) gives the segments. Features are cut into clips of a fixed number of
-frames and stored as one fixed-shape Arrow tensor column, beside each clip's time span.
+frames; each clip's tensor has the fixed shape (CLIP, BANDS) and lies, row by row, in an Arrow list beside the
+clip's time span, as tables of Spark know no tensors. ``tensors`` views such a column as Arrow's tensor type.
 
 A payload is handled in fixed steps of samples, so a long one needs no more memory than a short one, and
 equal payloads give equal values whatever else a batch holds.
@@ -13,9 +14,9 @@ equal payloads give equal values whatever else a batch holds.
 from __future__ import annotations
 
 import hashlib
-import io
 import struct
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import map_rows, utf8
+from pulsegrid.llm.common import STEP_ROWS, arrow_schema, ship, utf8
 
 ALIGN = 64
 RATE = 8000
@@ -35,8 +36,9 @@ HOP = 128
 BANDS = 20
 #: Frames of a clip: the tensor's fixed shape is (CLIP, BANDS).
 CLIP = 64
-#: Frames whose spectra are computed at once.
+#: Frames whose spectra are computed at once, and bytes of texts after which a worker hands its rows on.
 STEP = 2048
+GROUP_BYTES = 1 << 22
 #: Standard deviations above the mean at which a segment opens, and below it at which it closes.
 OPEN, CLOSE = 0.5, -0.25
 
@@ -150,59 +152,85 @@ def segments(energy: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[0::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
-def clips(bands: np.ndarray) -> bytes:
-    """An Arrow stream: clip number, start and end seconds, and a fixed-shape tensor of (CLIP, BANDS)."""
+def clips(bands: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, tensor) of each clip: seconds, and (clips, CLIP, BANDS) with silence after the last frame."""
     count = -(-len(bands) // CLIP)
     full = np.zeros((count * CLIP, BANDS), np.int16)
     full[: len(bands)] = bands
-    tensor = pa.FixedShapeTensorArray.from_numpy_ndarray(full.reshape(count, CLIP, BANDS))
     number = np.arange(count)
     ends = np.minimum((number + 1) * CLIP, len(bands))
-    batch = pa.RecordBatch.from_arrays(
-        [pa.array(number), pa.array(number * CLIP * HOP / HALF_RATE), pa.array(((ends - 1) * HOP + FRAME) / HALF_RATE), tensor],
-        names=["clip", "start_s", "end_s", "log_mel"],
-    )
-    sink = io.BytesIO()
-    with pa.ipc.new_stream(sink, batch.schema) as writer:
-        writer.write_batch(batch)
-    return sink.getvalue()
+    return number * CLIP * HOP / HALF_RATE, ((ends - 1) * HOP + FRAME) / HALF_RATE, full.reshape(count, CLIP, BANDS)
 
 
-def read_clips(data: bytes) -> pa.Table:
-    return pa.ipc.open_stream(io.BytesIO(data)).read_all()
+def tensors(column: pa.Array | pa.ChunkedArray) -> pa.FixedShapeTensorArray:
+    """A column of clips' log_mel lists as one array of tensors of the shape (CLIP, BANDS)."""
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return pa.FixedShapeTensorArray.from_numpy_ndarray(whole.flatten().to_numpy(zero_copy_only=False).astype(np.int16, copy=False).reshape(-1, CLIP, BANDS))
 
 
-def _encode(with_media: bool):
-    def one(text: str | None) -> tuple:
-        size = len(utf8(text))
-        media = to_wav(payload(text))
-        rate, samples = from_wav(media)
-        bands, energy = log_mel(samples)
-        spans = segments(energy)
-        tensor = clips(bands)
-        means = "/".join(str(round(float(m))) for m in bands.mean(axis=0, dtype=np.float64))
-        feature = f"{len(bands)}f;{len(spans)}s;{means};{hashlib.sha256(tensor).hexdigest()[:16]}"
-        seconds = [{"start_s": a * HOP / HALF_RATE, "end_s": ((b - 1) * HOP + FRAME) / HALF_RATE} for a, b in spans]
-        head = (size, rate, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-ALIGN:]), len(media), hashlib.sha256(media).hexdigest(), feature)
-        return (*head, media, tensor, seconds) if with_media else head
+def _nested(rows: list[list[np.ndarray]], names: list[str]) -> pa.ListArray:
+    """A list column of structs: rows holds, for each row, one array for each name; tensors become lists of numbers."""
+    offsets = np.concatenate([[0], np.cumsum([len(r[0]) for r in rows])]).astype(np.int32)
+    fields = []
+    for k in range(len(names)):
+        flat = np.concatenate([r[k] for r in rows])
+        one = pa.array(flat.reshape(-1))
+        fields.append(one if flat.ndim == 1 else pa.ListArray.from_arrays(np.arange(len(flat) + 1, dtype=np.int32) * (CLIP * BANDS), one))
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, names=names))
 
-    def step(ids: list, texts: list) -> list[tuple]:
-        return [(i, *one(t)) for i, t in zip(ids, texts, strict=True)]
 
-    return step
+def describe(text: str | None) -> tuple[tuple, bytes, tuple, tuple]:
+    """The digests of one text, its media file, clips and segments."""
+    size = len(utf8(text))
+    media = to_wav(payload(text))
+    rate, samples = from_wav(media)
+    bands, energy = log_mel(samples)
+    spans = np.array(segments(energy), np.float64).reshape(-1, 2)
+    found = clips(bands)
+    means = "/".join(str(round(float(m))) for m in bands.mean(axis=0, dtype=np.float64))
+    feature = f"{len(bands)}f;{len(spans)}s;{means};{hashlib.sha256(found[2]).hexdigest()[:16]}"
+    seconds = (spans[:, 0] * HOP / HALF_RATE, ((spans[:, 1] - 1) * HOP + FRAME) / HALF_RATE)
+    head = (size, rate, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-ALIGN:]), len(media), hashlib.sha256(media).hexdigest(), feature)
+    return head, media, found, seconds
 
 
 _DIGESTS = "doc_id long, n_bytes long, rate int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-_MEDIA = ", media binary, clips binary, segments array<struct<start_s: double, end_s: double>>"
+_SPAN = "start_s: double, end_s: double"
+_MEDIA = f", media binary, clips array<struct<{_SPAN}, log_mel: array<smallint>>>, segments array<struct<{_SPAN}>>"
 
 
-def encode(docs: DataFrame, with_media: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: its media file, clip tensors, segments and digests of them.
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of docs: digests, its media file, clips and segments.
 
-    media is the WAV file, clips an Arrow stream (see ``clips``), segments the loud time spans. Without
-    with_media only the digests leave the workers, which still store, read back and compute everything.
-    Null and empty texts are 64 zero bytes. Null ids and repeated rows pass through; equal texts give equal
-    values. Other columns are not read. An empty table gives an empty result; nothing is shuffled.
+    media is the WAV file; clips are the time spans with their tensors, of CLIP * BANDS numbers each (see
+    ``tensors``); segments are the loud time spans. Null and empty texts are 64 zero bytes; long ones are encoded
+    whole, their spectra in steps. Null ids and repeated rows pass through; equal texts give equal values. Other
+    columns, whatever their names, are not read. An empty table gives an empty result; nothing is shuffled.
     """
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_rows(picked, ["doc_id", "text"], _encode, _DIGESTS + _MEDIA * with_media, (with_media,))
+    spark = docs.sparkSession
+    ship(spark)
+    schema = _DIGESTS + _MEDIA
+    arrow = arrow_schema(spark, schema)
+
+    def batch(ids: list, found: list) -> pa.RecordBatch:
+        heads = zip(*((i, *f[0]) for i, f in zip(ids, found, strict=True)), strict=True)
+        columns = [pa.array(values, type=field.type) for values, field in zip(heads, arrow, strict=False)]
+        columns.append(pa.array([f[1] for f in found], pa.binary()))
+        columns.append(_nested([f[2] for f in found], ["start_s", "end_s", "log_mel"]))
+        columns.append(_nested([f[3] for f in found], ["start_s", "end_s"]))
+        return pa.RecordBatch.from_arrays([c.cast(field.type) for c, field in zip(columns, arrow, strict=True)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, found, room = [], [], GROUP_BYTES
+        for rows in batches:
+            for at in range(rows.num_rows):
+                ids.append(rows.column(0)[at].as_py())
+                found.append(describe(rows.column(1)[at].as_py()))
+                room -= found[-1][0][0]
+                if room <= 0 or len(ids) == STEP_ROWS:
+                    yield batch(ids, found)
+                    ids, found, room = [], [], GROUP_BYTES
+        if ids:
+            yield batch(ids, found)
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)

@@ -55,7 +55,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.encode(_read(spark, sf_dir, "documents"), with_media=False).drop("rate")
+    return media.encode(_read(spark, sf_dir, "documents")).drop("rate")
 
 
 @query

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -418,13 +419,51 @@ def test_media_rows(spark):
         assert r.payload_sha256 == hashlib.sha256(data).hexdigest() and r.tail_crc32 == zlib.crc32(data[-64:])
         assert media.from_wav(bytes(r.media))[1] == data and r.media_sha256 == hashlib.sha256(bytes(r.media)).hexdigest() and r.media_bytes == len(r.media)
     assert got[1].feature == got[4].feature and got[2].feature == got[3].feature
-    table = media.read_clips(bytes(got[1].clips))
-    assert table["log_mel"].type.shape == [media.CLIP, media.BANDS] and table["start_s"][0].as_py() == 0 and table.num_rows > 1
-    short = media.encode(docs, with_media=False)
-    assert {r.doc_id: r.media_sha256 for r in short.collect()} == {i: r.media_sha256 for i, r in got.items()}
+    first = got[1].clips
+    tensor = media.tensors(pa.array([c.log_mel for c in first], pa.list_(pa.int16())))
+    bands, energy = media.log_mel(media.payload("abc" * 9000))
+    assert tensor.type.shape == [media.CLIP, media.BANDS] and len(tensor) == len(first) > 1 and first[0].start_s == 0
+    assert (tensor.to_numpy_ndarray().reshape(-1, media.BANDS)[: len(bands)] == bands).all()
+    assert [(round(s.start_s, 6), round(s.end_s, 6)) for s in got[1].segments] == [(round(a * media.HOP / media.HALF_RATE, 6), round(((b - 1) * media.HOP + media.FRAME) / media.HALF_RATE, 6)) for a, b in media.segments(energy)]
     assert media.encode(docs.limit(0)).count() == 0
 
 
+def test_log_mel_equals_direct_transforms():
+    data = media.payload("Some text with é and more words, twice over. " * 60)
+    got, energy = media.log_mel(data)
+    x = (np.frombuffer(data, np.uint8).astype(float) - 128) / 128
+    padded = np.concatenate([np.zeros(media.TAPS), x, np.zeros(media.TAPS + 4 * media.FRAME)])
+    half = np.array([sum(t * padded[2 * i + k] for k, t in enumerate(media._half_band().astype(float))) for i in range(-(-len(x) // 2))])
+    half = np.concatenate([half, np.zeros(media.FRAME)])
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    edges = [700 * (10 ** (mel(media.HALF_RATE / 2) * i / (media.BANDS + 1) / 2595) - 1) for i in range(media.BANDS + 2)]
+    n = np.arange(media.FRAME)
+    for at in range(len(got) - 1):
+        frame = half[at * media.HOP : at * media.HOP + media.FRAME]
+        power = [abs((frame * np.hanning(media.FRAME) * np.exp(-2j * np.pi * k * n / media.FRAME)).sum()) ** 2 for k in range(media.FRAME // 2 + 1)]
+        for band in range(media.BANDS):
+            lo, mid, hi = edges[band : band + 3]
+            total = sum(p * max(0.0, min((f - lo) / (mid - lo), (hi - f) / (hi - mid))) for p, f in zip(power, np.arange(media.FRAME // 2 + 1) * media.HALF_RATE / media.FRAME, strict=True))
+            assert abs(got[at, band] - 16 * np.log(total + 1e-6)) <= 0.75
+        assert abs(energy[at] - np.log((frame**2).sum() + 1e-6)) < 0.03
+
+
+def test_hysteresis_equals_a_loop():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        e = np.round(rng.normal(size=rng.integers(2, 60)), 2)
+        high, low = e.mean() + media.OPEN * e.std(), e.mean() + media.CLOSE * e.std()
+        state, spans = False, []
+        for i, v in enumerate(e):
+            now = v >= high or state and v >= low
+            if now and not state:
+                spans.append([i, i])
+            if now:
+                spans[-1][1] = i + 1
+            state = now
+        assert media.segments(e) == [tuple(s) for s in spans]
+
+
 # ---- licenses ----
 
 
