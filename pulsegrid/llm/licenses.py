@@ -1,12 +1,13 @@
 """License scans: MinHash bands over text windows retrieve templates, shingle containment verifies them.
 
-Texts are lower-cased, ASCII punctuation counts as white space, and five-word shingles are hashed. Windows of
-shingles overlap by half, so that at least one lies wholly inside any occurrence of a template that is long
-enough for them; templates are cut into windows at every offset, so that it meets one in line. A window's
-ROWS * BANDS min-hashes collide with those of a template's window of Jaccard similarity J in some band with
-probability 1 - (1 - J**ROWS)**BANDS: over 0.997 at J = 0.67, which a containment of 0.8 leaves in windows
-of equal length. Templates that are short meet windows of one shingle, which collide exactly when equal.
-Each retrieved place is then verified: the share of the template's shingles that the text holds there.
+Texts are lower-cased, ASCII punctuation counts as white space, and runs of words (shingles) are hashed: five
+words, or two for templates of fewer than LONG_WORDS, which have too few of five. Windows of shingles overlap,
+so that at least one lies wholly inside any occurrence of a template that is long enough for them; templates are
+cut into windows at every offset, so that it meets one in line. A window's ROWS * BANDS min-hashes collide with
+those of a template's window of Jaccard similarity J in some band with probability 1 - (1 - J**ROWS)**BANDS:
+over 0.997 at J = 0.67, which a containment of 0.8 leaves in windows of equal length; equal windows always
+collide. Each retrieved place is then verified: the share of the template's shingles that the text holds there.
+Of places of one license that lie in each other only the widest is given.
 """
 
 from __future__ import annotations
@@ -21,27 +22,70 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import map_rows, utf8
 
-SHINGLE_WORDS = 5
+#: Words of a shingle, and of that of templates with fewer than LONG_WORDS words.
+SHINGLE_WORDS, SHORT_WORDS = 5, 2
+LONG_WORDS = 9
 CONTAINMENT = 0.8
 ROWS, BANDS = 2, 10
-#: Shingles of a window, shingles between the starts of two, and the fewest of a template that uses them.
-WINDOWS = ((1, 1, 1), (4, 2, 5), (32, 16, 47))
+#: For each size of shingles: shingles of a window, between the starts of two, and the fewest of a template that uses them.
+WINDOWS = {SHORT_WORDS: ((1, 1, 1), (2, 1, 2), (4, 1, 4)), SHINGLE_WORDS: ((4, 2, 5), (32, 16, 47))}
 SEED = 5
-#: Shingles whose min-hashes are computed at once.
+#: Shingles whose min-hashes are computed at once, and words whose hashes a worker remembers.
 STEP = 1 << 15
+REMEMBERED = 400_000
 
-# License notices.
+# Names, notices and opening passages of licenses, by license and form.
 TEMPLATES = {
-    "all-rights-reserved": "All rights reserved.",
-    "mit-line": "Released under the MIT License.",
-    "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
-    "gpl-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
-    "cc-by-nc-4.0-line": "Licensed under CC BY-NC 4.0.",
-    "cc-by-4.0-line": "Licensed under CC BY 4.0.",
-    "cc-by-sa-4.0-line": "Licensed under CC BY-SA 4.0.",
-    "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "mit": (
+    "all-rights-reserved:notice": "All rights reserved.",
+    "MIT:name": "MIT License",
+    "MIT:tag": "SPDX-License-Identifier: MIT",
+    "Apache-2.0:name": "Apache License, Version 2.0",
+    "Apache-2.0:short name": "Apache License 2.0",
+    "Apache-2.0:tag": "SPDX-License-Identifier: Apache-2.0",
+    "GPL-2.0:name": "GNU General Public License, version 2",
+    "GPL-2.0:short name": "GNU GPL v2",
+    "GPL-2.0:tag": "SPDX-License-Identifier: GPL-2.0",
+    "GPL-3.0:name": "GNU General Public License, version 3",
+    "GPL-3.0:short name": "GNU GPL v3",
+    "GPL-3.0:tag": "SPDX-License-Identifier: GPL-3.0",
+    "GPL-3.0:line": "This work is licensed under the GNU General Public License, version 3.",
+    "LGPL-2.1:name": "GNU Lesser General Public License, version 2.1",
+    "LGPL-2.1:tag": "SPDX-License-Identifier: LGPL-2.1",
+    "LGPL-3.0:name": "GNU Lesser General Public License, version 3",
+    "LGPL-3.0:tag": "SPDX-License-Identifier: LGPL-3.0",
+    "AGPL-3.0:name": "GNU Affero General Public License, version 3",
+    "AGPL-3.0:tag": "SPDX-License-Identifier: AGPL-3.0",
+    "BSD-2-Clause:name": "BSD 2-Clause License",
+    "BSD-2-Clause:other name": "Simplified BSD License",
+    "BSD-2-Clause:tag": "SPDX-License-Identifier: BSD-2-Clause",
+    "BSD-3-Clause:name": "BSD 3-Clause License",
+    "BSD-3-Clause:other name": "New BSD License",
+    "BSD-3-Clause:tag": "SPDX-License-Identifier: BSD-3-Clause",
+    "ISC:name": "ISC License",
+    "ISC:tag": "SPDX-License-Identifier: ISC",
+    "MPL-2.0:name": "Mozilla Public License, version 2.0",
+    "MPL-2.0:short name": "Mozilla Public License 2.0",
+    "MPL-2.0:tag": "SPDX-License-Identifier: MPL-2.0",
+    "EPL-2.0:name": "Eclipse Public License 2.0",
+    "EPL-2.0:long name": "Eclipse Public License, version 2.0",
+    "EPL-2.0:tag": "SPDX-License-Identifier: EPL-2.0",
+    "Unlicense:tag": "SPDX-License-Identifier: Unlicense",
+    "Zlib:name": "zlib License",
+    "BSL-1.0:name": "Boost Software License, version 1.0",
+    "CC0-1.0:name": "CC0 1.0 Universal",
+    "CC0-1.0:tag": "SPDX-License-Identifier: CC0-1.0",
+    "CC-BY-4.0:code": "CC BY 4.0",
+    "CC-BY-SA-4.0:code": "CC BY-SA 4.0",
+    "CC-BY-NC-4.0:code": "CC BY-NC 4.0",
+    "CC-BY-ND-4.0:code": "CC BY-ND 4.0",
+    "CC-BY-NC-SA-4.0:code": "CC BY-NC-SA 4.0",
+    "CC-BY-4.0:name": "Creative Commons Attribution 4.0 International",
+    "CC-BY-SA-4.0:name": "Creative Commons Attribution-ShareAlike 4.0 International",
+    "CC-BY-NC-4.0:name": "Creative Commons Attribution-NonCommercial 4.0 International",
+    "CC-BY-4.0:line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0:line": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-NC-4.0:line": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "MIT:text": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
         '(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, '
         "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
@@ -49,51 +93,99 @@ TEMPLATES = {
         'substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING '
         "BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
     ),
-    "bsd": (
+    "BSD-2-Clause:text": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
         "are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
         "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
         "documentation and/or other materials provided with the distribution."
     ),
-    "apache-2.0": (
+    "BSD-3-Clause:third clause": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+        "software without specific prior written permission."
+    ),
+    "Apache-2.0:notice": (
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may '
         "obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
         'software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express '
         "or implied. See the License for the specific language governing permissions and limitations under the License."
     ),
-    "gpl-3.0-or-later": (
+    "GPL-2.0:notice": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
+        "by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    ),
+    "GPL-3.0:notice": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
-        "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in "
-        "the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A "
-        "PARTICULAR PURPOSE. See the GNU General Public License for more details."
+        "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "LGPL-2.1:notice": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
     ),
-    "isc": (
+    "AGPL-3.0:notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "ISC:text": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
         "the above copyright notice and this permission notice appear in all copies."
     ),
-    "mpl-2.0": (
+    "MPL-2.0:notice": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
         "file, You can obtain one at http://mozilla.org/MPL/2.0/."
     ),
+    "EPL-2.0:notice": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at "
+        "https://www.eclipse.org/legal/epl-2.0/"
+    ),
+    "Unlicense:text": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    ),
+    "Zlib:text": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages "
+        "arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial "
+        "applications, and to alter it and redistribute it freely, subject to the following restrictions"
+    ),
+    "BSL-1.0:text": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation "
+        'covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software'
+    ),
 }
 
 _SPACES = bytes(b if chr(b).isalnum() or b > 127 else 32 for b in range(256))
 
 
 def words(text: str | None) -> list[bytes]:
-    return utf8(text).lower().translate(_SPACES).split()
+    """Words in lower case; both spellings of license count as one."""
+    return utf8(text).lower().translate(_SPACES).replace(b"licenc", b"licens").split()
+
+
+class _Words(dict):
+    """Hashes of words, remembered up to REMEMBERED."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        found = self[word] = xxhash.xxh64_intdigest(word, SEED)
+        return found
+
+
+_WORDS = _Words()
 
 
 def shingles(parts: list[bytes], size: int = SHINGLE_WORDS) -> np.ndarray:
-    """Hashes of all runs of size words, repeats included."""
+    """Hashes of all runs of size words, repeats included: sums of the words' hashes times powers of an odd number, mixed."""
     if len(parts) < size:
         return np.empty(0, np.uint64)
-    joined = b" ".join(parts)
-    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-    ends = np.cumsum(lengths + 1) - 1
-    starts = (ends - lengths)[: len(parts) - size + 1].tolist()
-    h64 = xxhash.xxh64_intdigest
-    return np.array([h64(joined[a:b], SEED) for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)], np.uint64)
+    own = np.fromiter(map(_WORDS.__getitem__, parts), np.uint64, len(parts))
+    n = len(parts) - size + 1
+    out = np.zeros(n, np.uint64)
+    for k in range(size):
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += own[k : k + n]
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    return out ^ (out >> np.uint64(32))
 
 
 @lru_cache(maxsize=1)
@@ -127,89 +219,94 @@ class Scanner:
     """The index of the templates; finds their places in texts."""
 
     def __init__(self, templates: dict[str, str] | None = None):
-        self.names = list(templates or TEMPLATES)
-        parts = [words((templates or TEMPLATES)[n]) for n in self.names]
+        given = TEMPLATES if templates is None else templates
+        self.names = list(given)
+        parts = [words(given[n]) for n in self.names]
+        if any(len(p) < SHORT_WORDS for p in parts):
+            raise ValueError(f"a template needs {SHORT_WORDS} words or more")
         self.lengths = [len(p) for p in parts]
-        self.sets = [np.unique(shingles(p, min(len(p), SHINGLE_WORDS))) for p in parts]
-        #: Of templates with fewer words than a shingle, by their first word.
-        self.short: dict[bytes, list[tuple[list[bytes], int]]] = defaultdict(list)
-        tables: list[dict[int, set[int]]] = [defaultdict(set) for _ in WINDOWS]
-        for i, p in enumerate(parts):
-            if len(p) < SHINGLE_WORDS:
-                self.short[p[0]].append((p, i))
-                continue
-            runs = shingles(p)
-            at = max(w for w, (_, _, least) in enumerate(WINDOWS) if len(runs) >= least)
-            size = WINDOWS[at][0]
-            for key in (runs if size == 1 else band_keys(runs, [(size, 1)])[0].ravel()).tolist():
-                tables[at][key].add(i)
-        self.tables = tables
-        self.sorted = [np.array(sorted(t), np.uint64) for t in tables]
-
-    def _known(self, at: int, keys: np.ndarray) -> np.ndarray:
-        known = self.sorted[at]
-        if not len(known) or not len(keys):
+        self.sizes = [SHINGLE_WORDS if n >= LONG_WORDS else SHORT_WORDS for n in self.lengths]
+        self.sets = [np.unique(shingles(p, size)) for p, size in zip(parts, self.sizes, strict=True)]
+        self.tables: dict[int, list[dict[int, set[int]]]] = {size: [defaultdict(set) for _ in w] for size, w in WINDOWS.items()}
+        for i, (p, size) in enumerate(zip(parts, self.sizes, strict=True)):
+            runs = shingles(p, size)
+            at = max(w for w, (_, _, least) in enumerate(WINDOWS[size]) if len(runs) >= least)
+            for key in band_keys(runs, [(WINDOWS[size][at][0], 1)])[0].ravel().tolist():
+                self.tables[size][at][key].add(i)
+        self.sorted = {size: [np.array(sorted(t), np.uint64) for t in tables] for size, tables in self.tables.items()}
+
+    def _known(self, size: int, at: int, keys: np.ndarray) -> np.ndarray:
+        known = self.sorted[size][at]
+        if not len(known) or not keys.size:
             return np.zeros(keys.shape, bool)
         return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
 
-    def candidates(self, runs: np.ndarray) -> set[tuple[int, int]]:
-        """(template, shingle where a window starts) of the colliding windows."""
-        found = set()
-        used = [w for w in range(len(WINDOWS)) if len(self.sorted[w])]
-        banded = [(w, WINDOWS[w][:2]) for w in used if WINDOWS[w][0] > 1]
-        longest = max((size for size, _, _ in WINDOWS), default=1)
-        for first in range(0, len(runs), STEP):  # a multiple of all strides
+    def candidates(self, runs: np.ndarray, size: int = SHINGLE_WORDS) -> dict[int, list[int]]:
+        """The shingles where windows start that collide with each template, of templates with shingles of that size."""
+        found: dict[int, set[int]] = defaultdict(set)
+        used = [w for w in range(len(WINDOWS[size])) if len(self.sorted[size][w])]
+        longest = max((WINDOWS[size][w][0] for w in used), default=1)
+        for first in range(0, len(runs) if used else 0, STEP):  # a multiple of all strides
             part = runs[first : first + STEP + longest - 1]
-            keyed = list(zip((w for w, _ in banded), band_keys(part, [x for _, x in banded]), strict=True))
-            if 0 in used:
-                keyed.append((0, part[None, :]))
-            for w, keys in keyed:
-                bands, at = np.nonzero(self._known(w, keys))
+            for w, keys in zip(used, band_keys(part, [WINDOWS[size][w][:2] for w in used]), strict=True):
+                bands, at = np.nonzero(self._known(size, w, keys))
                 for band, k in zip(bands.tolist(), at.tolist(), strict=True):
-                    found.update((i, first + k * WINDOWS[w][1]) for i in self.tables[w][int(keys[band, k])])
-        return found
+                    for i in self.tables[size][w][int(keys[band, k])]:
+                        found[i].add(first + k * WINDOWS[size][w][1])
+        return {i: sorted(starts) for i, starts in found.items()}
+
+    def verified(self, runs: np.ndarray, i: int, starts: list[int] | None) -> list[tuple[str, float, int, int]]:
+        """The places of a template that hold enough of its shingles, near a start; everywhere where starts is none."""
+        size, out = self.sizes[i], []
+        hits = np.flatnonzero(np.isin(runs, self.sets[i]))
+        if not len(hits):
+            return out
+        # places are runs of hits without a gap of half a template; adjoining copies are one place
+        for place in np.split(hits, np.flatnonzero(np.diff(hits) > max(size, self.lengths[i] // 2)) + 1):
+            share = len(np.unique(runs[place])) / len(self.sets[i])
+            if share >= CONTAINMENT and (starts is None or any(place[0] - self.lengths[i] <= at <= place[-1] for at in starts)):
+                out.append((self.names[i], round(share, 6), int(place[0]), int(place[-1]) + size))
+        return out
+
+    def scan(self, text: str | None, exhaustive: bool = False) -> list[tuple[str, float, int, int]]:
+        """(name, containment, first word, end word) of each verified place, by place.
 
-    def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
-        """(name, containment, first word, end word) of each verified place, by place."""
+        exhaustive: verifies every template everywhere, without retrieval; for tests.
+        """
         parts = words(text)
         out = []
-        if self.short:
-            heads = self.short.keys()
-            for at in (k for k, w in enumerate(parts) if w in heads):
-                out += [(self.names[i], 1.0, at, at + len(p)) for p, i in self.short[parts[at]] if parts[at : at + len(p)] == p]
-        runs = shingles(parts)
-        windows: dict[int, list[int]] = defaultdict(list)
-        for i, at in self.candidates(runs):
-            windows[i].append(at)
-        for i, starts in windows.items():
-            hits = np.flatnonzero(np.isin(runs, self.sets[i]))
-            if not len(hits):
-                continue
-            # places are runs of hits without a gap of half a template; adjoining copies are one place
-            for place in np.split(hits, np.flatnonzero(np.diff(hits) > max(SHINGLE_WORDS, self.lengths[i] // 2)) + 1):
-                share = len(np.unique(runs[place])) / len(self.sets[i])
-                near = any(place[0] - self.lengths[i] <= at <= place[-1] for at in starts)
-                if near and share >= CONTAINMENT:
-                    out.append((self.names[i], round(share, 6), int(place[0]), int(place[-1]) + SHINGLE_WORDS))
-        return sorted(out, key=lambda r: (r[2], r[3], r[0]))
+        for size in WINDOWS:
+            runs = shingles(parts, size)
+            asked = {i: None for i, s in enumerate(self.sizes) if s == size} if exhaustive else self.candidates(runs, size)
+            for i, starts in asked.items():
+                out += self.verified(runs, i, starts)
+        widest: dict[str, list[tuple[str, float, int, int]]] = defaultdict(list)
+        for row in sorted(out, key=lambda r: (r[2], -r[3], r[0])):  # what lies in a place comes after it
+            kept = widest[row[0].split(":")[0]]
+            if not kept or row[3] > kept[-1][3]:
+                kept.append(row)
+        return sorted((r for kept in widest.values() for r in kept), key=lambda r: (r[2], r[3], r[0]))
 
 
 def _scan(templates: dict[str, str] | None):
     scanner = Scanner(templates)
 
     def step(ids: list, texts: list) -> list[tuple]:
-        return [(i, *found) for i, text in zip(ids, texts, strict=True) for found in scanner.scan(text)]
+        return [(i, name.split(":")[0], name.partition(":")[2] or None, *rest) for i, text in zip(ids, texts, strict=True) for name, *rest in scanner.scan(text)]
 
     return step
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, license, containment, start_word, end_word): one row for each verified place.
+    """(doc_id, license, form, containment, start_word, end_word): one row for each verified place.
 
-    Words are counted with punctuation as white space; end_word is exclusive. Texts without a license, null
-    and empty ones among them, give no row. Null ids and repeated rows are each scanned; other columns are
-    not read. An empty table gives an empty result. The templates travel with the function; nothing is shuffled.
+    Templates are named license:form. Words are counted with punctuation as white space; end_word is exclusive.
+    Texts without a license, null and empty ones among them, give no row; long texts are scanned whole, in steps.
+    Null ids and repeated rows are each scanned; places that tie are ordered by name. Other columns, whatever
+    their names, are not read. An empty table, or no templates, gives an empty result. The templates travel with
+    the function; nothing is shuffled. A template needs two words or more.
     """
+    Scanner(templates)  # raises here rather than in a task
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id long, license string, containment double, start_word long, end_word long"
+    schema = "doc_id long, license string, form string, containment double, start_word long, end_word long"
     return map_rows(picked, ["doc_id", "text"], _scan, schema, (templates,))
