@@ -11,7 +11,9 @@ remembered. Texts that hold a string of the vocabulary's special kinds are encod
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
+from pathlib import Path
 
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -49,14 +51,24 @@ def whole_tokens(path: str) -> frozenset[str]:
     return frozenset(t.replace(MARK, " ") for t, ids in zip(texts, sp.encode([t.replace(MARK, " ") for t in texts], num_threads=1), strict=True) if len(ids) == 1)
 
 
+@lru_cache(maxsize=4)
+def _prepared(path: str, digest: str) -> frozenset[str]:
+    if not proof(path):
+        raise ValueError("this vocabulary has pieces across spaces, so texts cannot be split there")
+    return whole_tokens(path)
+
+
+def prepared(path: str) -> frozenset[str]:
+    """The whole tokens of a vocabulary whose proof holds, worked out once for each content of the file."""
+    return _prepared(path, hashlib.sha256(Path(path).read_bytes()).hexdigest())
+
+
 class Counter:
     """Counts tokens of whole texts; one for each worker task."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, whole: frozenset[str] | None = None):
         self.sp = load(path)
-        if not proof(path):
-            raise ValueError("this vocabulary has pieces across spaces, so texts cannot be split there")
-        self.start = dict.fromkeys(whole_tokens(path), 1)
+        self.start = dict.fromkeys(prepared(path) if whole is None else whole, 1)
         self.start[""] = len(self.sp.encode("a ")) - len(self.sp.encode("a"))  # a lone mark at the end
         #: Their strings get no shortcut.
         self.specials = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size()) if self.sp.is_control(i) or self.sp.is_unknown(i)]
@@ -109,8 +121,8 @@ def _joined(parts: list[str]) -> list[str]:
     return out
 
 
-def _counts(path: str, limit: int):
-    count = Counter(path)
+def _counts(path: str, limit: int, whole: frozenset[str]):
+    count = Counter(path, whole)
 
     def step(ids: list, texts: list) -> list[tuple]:
         return [(i, len(utf8(text)), n, n > limit) for i, text, n in zip(ids, texts, count.many(texts), strict=True)]
@@ -121,8 +133,10 @@ def _counts(path: str, limit: int):
 def count_tokens(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for every row of docs, of its whole text.
 
-    Null and empty texts have 0 bytes and 0 tokens. Null ids, repeated rows and ties are each returned.
-    Other columns are not read. An empty table gives an empty result. Nothing is shuffled.
+    Null and empty texts have 0 bytes and 0 tokens; long ones are counted whole, and what a worker remembers is
+    bounded. Null ids, repeated rows and ties are each returned. Other columns, whatever their names, are not read.
+    An empty table gives an empty result. Nothing is shuffled. The proof and the whole tokens are worked out once,
+    where the query is made, and travel with the function (some 30,000 strings).
     """
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_rows(picked, ["doc_id", "text"], _counts, "doc_id long, n_bytes long, n_tokens long, over_limit boolean", (path, limit))
+    return map_rows(picked, ["doc_id", "text"], _counts, "doc_id long, n_bytes long, n_tokens long, over_limit boolean", (path, limit, prepared(path)))
