@@ -217,6 +217,49 @@ def test_toxicity_on_held_out_documents_and_disguised_insults():
     assert (again.weights == machine.weights).all() and again.slope == machine.slope
 
 
+def phrase_corpus(n, seed):
+    """Documents that are toxic by two neighbouring words, each of which is in clean documents too."""
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choice("abcdefghiklmnoprstuvw") for _ in range(rng.randrange(2, 9))) for _ in range(300)] + ["drop", "dead", "stop", "head", "deal", "crop"]
+    docs = []
+    for i in range(n):
+        words = [rng.choice(vocabulary) for _ in range(rng.randrange(20, 90))]
+        words = [w for at, w in enumerate(words) if not (w == "dead" and at and words[at - 1] == "drop")]
+        at = rng.randrange(len(words))
+        words[at:at] = ["drop", "dead"] if i % 3 == 0 else rng.choice([["drop"], ["dead"], ["dead", "drop"]])
+        docs.append((" ".join(words), int("drop dead" in " ".join(words))))
+    return docs
+
+
+def test_phrases_whose_words_are_clean_are_learned():
+    machine = toxicity.train(phrase_corpus(400, 3))
+    test = phrase_corpus(200, 4)
+    predicted = np.array(toxicity.Scorer(machine).many([t for t, _ in test])) >= toxicity.THRESHOLD
+    labels = np.array([y for _, y in test]) == 1
+    assert (predicted & labels).sum() >= 0.9 * labels.sum() and (predicted & ~labels).sum() <= 0.1 * (~labels).sum()
+
+
+def test_split_insults_and_insults_within_longer_runs_of_letters_are_found():
+    docs = toxic_corpus()
+    scorer = toxicity.Scorer(toxicity.train([(t, y) for _, t, y in docs[:600]]))
+    plain = " the onre tierble an ou "
+    hidden = ["zib nax", "blorg face", "wurp ling", "zi bn ax", "a z i b n a x o e", "blorgfaceblorgfaceblorgface", "q w z.i.b.n.a.x"]
+    found = scorer.many([plain + h + plain for h in hidden])
+    assert sum(p >= toxicity.THRESHOLD for p in found) >= len(hidden) - 1, dict(zip(hidden, found, strict=True))
+
+
+def test_units_of_a_group_of_texts_equal_those_of_each_text():
+    docs = toxic_corpus(240)
+    machine = toxicity.train([(t, y) for _, t, y in docs])
+    texts = [t for _, t, _ in docs[:60]] + ["a b c d e f g h i j k the", "... -- !", "x", "w" * 60 + " zibnax " + "q" * 40, "z i b n a x of it is a", ""]
+    fast = toxicity.Scorer(machine).values(texts)
+    for text, got in zip(texts, fast, strict=True):
+        parts = toxicity.parts_of(text)
+        every = sorted(toxicity.units(parts) | toxicity.pairs(parts))
+        slow = max(machine.units(every).tolist(), default=toxicity.FLOOR) if every else toxicity.FLOOR
+        assert abs(got - max(slow, toxicity.FLOOR)) < 1e-4, text
+
+
 def test_scores_do_not_depend_on_what_is_remembered(monkeypatch):
     docs = toxic_corpus(200)
     machine = toxicity.train([(t, y) for _, t, y in docs])
@@ -238,7 +281,7 @@ def test_folded_weights_equal_the_landmark_kernels():
             out, norm = {}, 0.0
             for i in range(len(s)):
                 for j in range(i + 1, len(s)):
-                    for k in range(j + 1, len(s)):
+                    for k in range(j + 1, min(len(s), i + toxicity.SPAN)):
                         v = toxicity.DECAY ** (k - i + 1)
                         out[s[i], s[j], s[k]] = out.get((s[i], s[j], s[k]), 0) + v
                         norm += v * v
