@@ -172,6 +172,25 @@ def test_embedding_edges(spark):
     assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in got) == [(0, 0, 0, False), (2, 1, 2, True), (2, 1, 2, True), (4, 0, 4, True)]
 
 
+def test_repeated_ids_are_vectors_of_their_own(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [1.0, 0.001, 0.0]), (3, [0.0, 1.0, 0.001]), (4, [1.0, 0.0])]
+    got = lattice.near_duplicates(spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "vec_id long, embedding array<double>, one int, node int, keys int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True)]
+
+
+def test_recall_at_the_threshold_itself():
+    rng = np.random.default_rng(11)
+    for dim in (16, 24, 64, 256):
+        a = rng.standard_normal((1500, dim))
+        a /= np.linalg.norm(a, axis=1)[:, None]
+        o = rng.standard_normal((1500, dim))
+        o -= (o * a).sum(axis=1)[:, None] * a
+        o /= np.linalg.norm(o, axis=1)[:, None]
+        x, y = lattice.cells(a), lattice.cells(0.9 * a + np.sqrt(1 - 0.81) * o)
+        met = ((x[:, :, :1] == y).any(axis=2) | (y[:, :, :1] == x).any(axis=2)).any(axis=1)
+        assert met.mean() >= 0.94, (dim, met.mean())
+
+
 def test_lattice_points_are_nearest():
     x = np.random.default_rng(1).uniform(-3, 3, (300, 8))
     own = lattice.nearest_e8(x)
