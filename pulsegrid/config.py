@@ -16,5 +16,6 @@ class EngineConfig:
     approved_model: str | None = None
     train_buckets: int = 8
     max_stay_hours: int = 1000
-    #: Rows up to which a dimension is broadcast; beyond that the join shuffles.
+    #: Rows and bytes (as JSON) up to which a dimension is broadcast; beyond either the join shuffles.
     broadcast_rows: int = 100_000
+    broadcast_bytes: int = 32 << 20

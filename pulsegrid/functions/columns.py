@@ -97,6 +97,15 @@ def glob_match(x: Column, pattern: Column) -> Column:
     return F.rlike(x, F.concat(F.lit("(?s)^"), F.replace(F.replace(quoted, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$")))
 
 
+def valid_identifier(x: Column) -> Column:
+    """Whether a text is a plain SQL identifier."""
+    return F.coalesce(x.rlike("^[A-Za-z_][A-Za-z0-9_]*$"), F.lit(False))
+
+
+def valid_model_version(x: Column) -> Column:
+    return F.coalesce(x.rlike("^[A-Za-z0-9][A-Za-z0-9._-]*$"), F.lit(False))
+
+
 # ---- times ----
 
 

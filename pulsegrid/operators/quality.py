@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.functions.columns import stable_key
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -98,6 +100,26 @@ def inconsistent_versions(predictions: DataFrame) -> DataFrame:
     return predictions.groupBy("model_version").agg(*(F.count_distinct(c).alias(f"n_{c}") for c in columns)).where(bad).select("model_version")
 
 
+def split_group_leakage(training: DataFrame, split_groups: DataFrame) -> DataFrame:
+    """Waveform split groups (patient_id, split_group) whose patients occur in more than one split."""
+    groups = split_groups.select(stable_key(F.col("patient_id")).alias("patient_key"), "split_group")
+    return training.select("patient_key", "data_split").join(groups, "patient_key").groupBy("split_group").agg(F.count_distinct("data_split").alias("n")).where("n > 1").select("split_group")
+
+
+def invalid_count(df: DataFrame) -> DataFrame:
+    """One row: rows that lack a required value, plus keys (observation_id, loinc_code) that occur more than once."""
+    lacking = reduce(lambda a, b: a | b, (F.col(c).isNull() for c in ("observation_id", "patient_id", "loinc_code", "value", "effective_datetime"))) | (F.col("patient_id") == "")
+    rows = df.agg(F.count_if(lacking).alias("n"))
+    keys = duplicates(df.where("observation_id is not null and loinc_code is not null"), "observation_id", "loinc_code").agg(F.count(F.lit(1)).alias("n"))
+    return rows.unionByName(keys).agg(F.sum("n").alias("invalid_row_count"))
+
+
+def verify_blobs(blobs: DataFrame) -> DataFrame:
+    """(name, sha256, verified) of blobs (name, content, expected): whether a content has the checksum it was published with."""
+    digest = F.sha2("content", 256)
+    return blobs.select("name", digest.alias("sha256"), digest.eqNullSafe(F.col("expected")).alias("verified"))
+
+
 def out_of_unit_range(predictions: DataFrame, columns: tuple[str, ...] = ("deterioration_probability", "decision_threshold")) -> DataFrame:
     bad = reduce(lambda a, b: a | b, (~F.col(c).between(0, 1) for c in columns))
     return predictions.where(bad).select("model_version", "encounter_key")
@@ -106,11 +128,11 @@ def out_of_unit_range(predictions: DataFrame, columns: tuple[str, ...] = ("deter
 def table_fingerprint(df: DataFrame) -> DataFrame:
     """(rows, fingerprint): the same for any order of rows.
 
-    Row hashes are summed as numbers of 128 bits modulo 2^64 in two halves, so nothing is collected or sorted.
+    Row hashes are summed exactly, as decimals of four parts of 32 bits, so nothing is collected, sorted or overflows.
     """
     row = F.md5(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}))
-    half = lambda at: F.conv(F.substring(row, at, 8), 16, 10).cast("long")
-    sums = [F.sum(half(at)).alias(f"s{at}") for at in (1, 9, 17, 25)]
+    part = lambda at: F.conv(F.substring(row, at, 8), 16, 10).cast("decimal(20,0)")
+    sums = [F.sum(part(at)).alias(f"s{at}") for at in (1, 9, 17, 25)]
     return df.agg(F.count(F.lit(1)).alias("rows"), *sums).select("rows", F.md5(F.concat_ws(":", "rows", *(F.col(f"s{at}").cast("string") for at in (1, 9, 17, 25)))).alias("fingerprint"))
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsegrid.session import keep
+
 
 def latest_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row of each key that is last by order; a max_by, which aggregates before the shuffle."""
@@ -17,15 +21,29 @@ def forward_fill(df: DataFrame, key: str, order: str, columns: list[str]) -> Dat
     return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
 
 
-def midranks(df: DataFrame, score: str, name: str = "midrank", group: list[str] | None = None) -> DataFrame:
-    """Adds the average rank of equal scores, from 1 on.
+def before(df: DataFrame, keys: list[str], order: str, columns: list[str], descending: bool = False) -> DataFrame:
+    """Adds <column>_before for each column: its sum over the rows of the same keys that come earlier by order.
 
-    Works on the counts of distinct scores: their running sum needs a window over distinct scores only.
+    Each value of keys and order occurs once. Rows are dealt by ranges of both, so no key or table goes through one
+    task: parts are summed by themselves, and the parts' sums, one row for each part and key, give what comes before.
+    The ranges are kept as a checkpoint, since Spark samples bounds anew for each plan.
     """
+    sign = [F.col(c).asc() for c in keys] + [F.col(order).desc() if descending else F.col(order).asc()]
+    parts = keep(df.repartitionByRange(*sign).withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy("_part", *keys).orderBy(sign[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    totals = parts.groupBy("_part", *keys).agg(*(F.sum(c).alias(f"_sum_{c}") for c in columns))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(F.col("_part").alias("_same_part"), *(F.col(k).alias(f"_same_{k}") for k in keys), *(F.coalesce(F.sum(f"_sum_{c}").over(earlier), F.lit(0)).alias(f"_first_{c}") for c in columns))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_same_{k}")) for k in keys), F.col("_part") == F.col("_same_part"))
+    sums = parts.select(*parts.columns, *(F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_in_{c}") for c in columns))
+    return sums.join(offsets, same).select(*df.columns, *((F.col(f"_first_{c}") + F.col(f"_in_{c}")).alias(f"{c}_before") for c in columns))
+
+
+def midranks(df: DataFrame, score: str, name: str = "midrank", group: list[str] | None = None) -> DataFrame:
+    """Adds the average rank of equal scores, from 1 on, by running sums of the counts of distinct scores."""
     keys = list(group or [])
-    counts = df.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select(*keys, score, (F.coalesce(F.sum("_c").over(w), F.lit(0)) + (F.col("_c") + 1) / 2.0).alias(name))
+    counts = before(df.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_c")), keys, score, ["_c"])
+    ranks = counts.select(*keys, score, (F.col("_c_before") + (F.col("_c") + 1) / 2.0).alias(name))
     return df.join(ranks, [*keys, score])
 
 
@@ -51,8 +69,7 @@ def nearest_rank(values: str, fraction: float) -> Column:
 def distributed_nearest_rank(df: DataFrame, value: str, fractions: list[float]) -> DataFrame:
     """(fraction, value) by nearest floor rank over a table of any size, through counts of distinct values."""
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    up_to = counts.withColumn("upto", F.sum("c").over(w))
+    up_to = before(counts, [], value, ["c"]).withColumn("upto", F.col("c_before") + F.col("c"))
     total = counts.agg(F.sum("c").alias("n"))
     asked = F.explode(F.array(*(F.lit(float(f)) for f in fractions))).alias("fraction")
     ranks = total.select("n", asked).withColumn("rank", F.floor((F.col("n") - 1) * F.col("fraction")) + 1)

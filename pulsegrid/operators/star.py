@@ -7,13 +7,19 @@ from pyspark.sql import functions as F
 
 from pulsegrid.config import EngineConfig
 from pulsegrid.functions import columns as C
+from pulsegrid.session import keep
 
 FAR = "9999-12-31"
 
 
 def small(df: DataFrame, config: EngineConfig) -> DataFrame:
-    """df with a broadcast hint where a bounded count proves it small; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(config.broadcast_rows + 1).count() <= config.broadcast_rows else df
+    """df with a broadcast hint where a bound on its bytes proves it small; else as it is, for a join that AQE plans.
+
+    The bound is rows (counted up to broadcast_rows) times their average size, from one bounded job.
+    """
+    head = df.limit(config.broadcast_rows + 1)
+    row = head.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))).alias("b")).first()
+    return F.broadcast(df) if row.n <= config.broadcast_rows and (row.b or 0) <= config.broadcast_bytes else df
 
 
 def staged_observations(processed: DataFrame, active_patients: list[str] | DataFrame | None = None) -> DataFrame:
@@ -97,11 +103,11 @@ def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
     """Rows numbered from 1 by a column, without sorting all rows in one task.
 
     A range partitioning sorts; each part's count gives the next part's first number. Ties are numbered by all
-    columns, so the numbers do not depend on the partitioning. The parts are persisted, because both readers
+    columns, so the numbers do not depend on the partitioning. The parts are a checkpoint, because both readers
     must see the same bounds, which Spark samples anew for each plan.
     """
     columns = [order, *(c for c in df.columns if c != order)]
-    part = df.repartitionByRange(order, *columns[1:]).sortWithinPartitions(*columns).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()).persist()
+    part = keep(df.repartitionByRange(order, *columns[1:]).sortWithinPartitions(*columns).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
     counts = part.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
     offsets = counts.select("_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))

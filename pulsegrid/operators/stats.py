@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import columns as C
-from pulsegrid.operators.ranking import midranks
+from pulsegrid.operators.ranking import before, midranks
 
 
 class StatisticsError(ValueError):
@@ -190,14 +190,13 @@ def operating_point(df: DataFrame, label: str, probability: str, threshold: floa
 def youden(df: DataFrame, label: str, probability: str) -> DataFrame:
     """(threshold, j): the threshold in [0, 1] with the largest sensitivity + specificity - 1.
 
-    Ties go to the one nearest one half, then the smaller. The window is over distinct probabilities.
+    Ties go to the one nearest one half, then the smaller. The curve is a running sum over distinct probabilities.
     """
-    from pyspark.sql import Window
-
     at = df.groupBy(F.col(probability).alias("threshold")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q"))
-    down = Window.orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.partitionBy()
-    curve = at.select("threshold", (F.sum("p").over(down) / F.sum("p").over(every) - F.sum("q").over(down) / F.sum("q").over(every)).alias("j"))
+    curve = before(at.where("threshold is not null"), [], "threshold", ["p", "q"], descending=True)
+    every = at.agg(F.sum("p").alias("all_p"), F.sum("q").alias("all_q"))
+    curve = curve.crossJoin(F.broadcast(every))  # a single row
+    curve = curve.select("threshold", ((F.col("p_before") + F.col("p")) / F.col("all_p") - (F.col("q_before") + F.col("q")) / F.col("all_q")).alias("j"))
     return curve.where("threshold between 0 and 1").orderBy(F.round("j", 12).desc(), F.abs(F.col("threshold") - 0.5), "threshold").limit(1)
 
 

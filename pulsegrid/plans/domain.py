@@ -15,7 +15,7 @@ from pulsegrid.config import EngineConfig
 from pulsegrid.functions.catalog import EXTREMES, FEATURES, FIELDS, LABEL_VERSION, LOINC, MINUTE_FEATURES, NEWS2_BANDS, VITALS
 from pulsegrid.operators import features as feats
 from pulsegrid.operators import ingest, scd, star
-from pulsegrid.session import importable, table
+from pulsegrid.session import importable, keep, table
 
 CONFIG = EngineConfig(feature_minutes=7 * 1440, outcome_minutes=7 * 1440, as_of="2024-01-15 12:00:00")
 STAMP = "yyyy-MM-dd HH:mm:ss"
@@ -95,7 +95,7 @@ class Domain:
 
     @cached_property
     def processed(self) -> DataFrame:
-        return ingest.latest_per_key(self.valid).persist()  # a table in the lakehouse, which the models below read many times
+        return keep(ingest.latest_per_key(self.valid))  # a table in the lakehouse, which the models below read many times
 
     @cached_property
     def active(self) -> DataFrame:
@@ -117,7 +117,7 @@ class Domain:
 
     @cached_property
     def encounters(self) -> DataFrame:
-        return star.dim_encounter(self.staged, self.providers, config=CONFIG).persist()
+        return keep(star.dim_encounter(self.staged, self.providers, config=CONFIG))
 
     @cached_property
     def facts(self) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +35,29 @@ def importable(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``. In local mode alone (tests) it may be unset: then under the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder that no other call gives."""
+    return f"{shared_folder(spark)}/{name}_{uuid.uuid4().hex}"
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """df as a reliable checkpoint, for what several readers must see alike; removed once nothing refers to it."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(f"{shared_folder(spark)}/_checkpoints")
+    return df.checkpoint()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver tables; the path may lie in any store that Spark reads."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -10,6 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pulsegrid.operators.ingest import latest_per_key, merge
+from pulsegrid.sources.readers import checked
+
+#: Names of published models.
+MODEL_VERSION = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]*")
 
 
 def write_quarantine(rejected: DataFrame, path: str) -> bool:
@@ -96,10 +101,20 @@ def land_raw(stream: DataFrame, path: str, checkpoint: str, time: str = "arrived
     return writer.trigger(availableNow=True).start() if once else writer.trigger(processingTime=every).start()
 
 
-def publish(df: DataFrame, path: str, key: str = "patient_id", partitions: int | None = None) -> None:
-    """Republishes events, each key's in one partition, in order of time."""
+def register_partition(spark: SparkSession, table: str, column: str, value: str, location: str) -> None:
+    """Adds a partition to a catalog table unless it is there: later reads see its files without a scan of all folders."""
+    for name in table.split("."):
+        checked(name)
+    checked(column)
+    if not MODEL_VERSION.fullmatch(value):
+        raise ValueError(f"unsafe partition value: {value!r}")
+    spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS PARTITION ({column} = '{value}') LOCATION '{location.replace(chr(39), '')}'")
+
+
+def publish(df: DataFrame, path: str, key: str = "patient_id", partitions: int | None = None, batch: int = 500) -> None:
+    """Republishes events, each key's in one partition, in order of time, in batches of at most so many events."""
     dealt = df.repartition(partitions, key) if partitions else df.repartition(key)
-    dealt.sortWithinPartitions(key, "event_timestamp").write.mode("append").json(path)
+    dealt.sortWithinPartitions(key, "event_timestamp").write.mode("append").option("maxRecordsPerFile", batch).json(path)
 
 
 def fan_out(stream: DataFrame, subscriptions: Callable[[], DataFrame], deliver: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
@@ -111,6 +126,11 @@ def fan_out(stream: DataFrame, subscriptions: Callable[[], DataFrame], deliver:
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def after_delivery(subscriptions: DataFrame, attempts: DataFrame) -> DataFrame:
+    """The subscriptions that stay after attempts (connection_id, status): a connection that is gone (410) goes."""
+    return subscriptions.join(attempts.where("status = 410").select("connection_id"), "connection_id", "left_anti").select(*subscriptions.columns)
+
+
 def delivery_metrics(attempts: DataFrame) -> DataFrame:
     """Counts of deliveries, failures and gone connections from attempts (status)."""
     s = F.col("status")
