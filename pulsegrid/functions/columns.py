@@ -199,9 +199,9 @@ def reflect(x: Column, low: float, high: float, accepted: tuple[float, float]) -
 
 
 def shift_clamped(x: Column, offset: Column, accepted: tuple[float, float]) -> Column:
-    """The value moved and kept in range; one outside it stays."""
+    """The value moved and kept in range; one outside it stays, and null stays null."""
     moved = F.least(F.greatest(x + offset, F.lit(float(accepted[0]))), F.lit(float(accepted[1])))
-    return F.when((offset == 0) | ~x.between(*accepted), x).otherwise(moved)
+    return F.when(x.isNull() | (offset == 0) | ~x.between(*accepted), x).otherwise(moved)
 
 
 def ramp(elapsed: Column, start: float, end: float, until: float) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import columns as C
 from pulsegrid.functions.catalog import MODEL_FEATURES
 from pulsegrid.operators import stats
+from pulsegrid.operators.quality import table_fingerprint
 
 TARGET = "deterioration_proxy_label"
 REQUIRED = ("encounter_key", "patient_key", "data_split", "feature_schema_version", "label_definition_version", TARGET, *MODEL_FEATURES)
@@ -60,7 +61,8 @@ def dataset_fingerprint(df: DataFrame, columns: tuple[str, ...] = REQUIRED) -> D
 def train(df: DataFrame) -> dict:
     """Median imputation, standard scaling and a balanced, L2-penalised logistic fit on the train split.
 
-    The penalty holds the intercept too, as a constant column; returns parameters and manifest as plain data.
+    The penalty holds the intercept too, as a constant column; returns parameters and manifest as plain data. The
+    dataset's fingerprint is the one that needs no order (``table_fingerprint``), so no task sees all rows.
     """
     validate_training(df)
     rows = df.where("data_split = 'train'")
@@ -77,7 +79,7 @@ def train(df: DataFrame) -> dict:
     n = sum(counts.values())
     weight = F.when(F.col(TARGET) == 1, n / (2.0 * counts[1])).otherwise(n / (2.0 * counts[0]))
     beta = stats.logistic_fit(rows, [*z, F.lit(1.0)], F.col(TARGET), weight, ridge=1.0)
-    fingerprint = dataset_fingerprint(df).first()[0]
+    fingerprint = table_fingerprint(df.select(*REQUIRED)).first().fingerprint
     versions = df.agg(F.sort_array(F.collect_set("feature_schema_version")).alias("f"), F.sort_array(F.collect_set("label_definition_version")).alias("l"), F.count_if(F.col("data_split") == "test").alias("t")).first()
     manifest = {
         "model_type": "logistic_regression",

@@ -145,3 +145,16 @@ def batch_cycles(spark: SparkSession, patients: DataFrame, seed: str, start: str
     rows = plan.withColumns({"run_id": F.concat(F.lit(f"{seed}-"), F.col("run")), "started_at": began})
     rows = rows.withColumn("elapsed", F.explode(F.sequence(F.lit(0), F.lit(seconds - step), F.lit(step))))
     return rows.withColumn("event_timestamp", F.timestamp_add("SECOND", F.col("elapsed"), F.col("started_at")))
+
+
+def batch_vitals(cycles: DataFrame, waveforms: DataFrame, bedside: DataFrame, seed: str, bedside_every: int = 300) -> DataFrame:
+    """Wide readings of a batch: each cycle's monitor values, bedside values every so many seconds, and the scenario's changes.
+
+    waveforms: (patient_id, offset_seconds, fields), see ``waveform_rows``; bedside: (patient_id, fields). A cycle
+    takes the waveform's sample of its second; both joins are on the patient.
+    """
+    monitored = [c for c in waveforms.columns if c in BY_FIELD]
+    by_hand = [c for c in bedside.columns if c in BY_FIELD]
+    rows = cycles.join(waveforms.select("patient_id", F.col("offset_seconds").alias("elapsed"), *monitored), ["patient_id", "elapsed"], "left").join(bedside.select("patient_id", *by_hand), "patient_id", "left")
+    rows = rows.withColumns({f: F.when(F.col("elapsed") % bedside_every == 0, F.col(f)) for f in by_hand})
+    return apply_scenario(rows, seed)

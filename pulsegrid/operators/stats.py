@@ -133,23 +133,36 @@ def delong(df: DataFrame, label: str, a: str, b: str) -> DeLong:
 BOOTSTRAP_RESAMPLES = 2000
 
 
+def poisson_weight(seed: int, resample: str, group: str) -> Column:
+    """How often a group is drawn in a resample: Poisson(1) by a hash of the seed, the resample and the group."""
+    u = C.hex_prefix_number(F.md5(F.concat_ws(":", F.lit(seed), F.col(resample), F.col(group).cast("string"))), 13) / F.lit(float(16**13))
+    weight = F.lit(0)
+    for bound in poisson_bounds():
+        weight = weight + (u >= bound).cast("int")
+    return weight
+
+
+def poisson_bounds(terms: int = 12) -> list[float]:
+    """The cumulative probabilities of Poisson(1)."""
+    out, upto, p = [], 0.0, math.exp(-1)
+    for k in range(terms):
+        upto += p
+        out.append(upto)
+        p /= k + 1
+    return out
+
+
 def group_bootstrap(df: DataFrame, label: str, scores: list[str], group: str, reference: str, resamples: int, seed: int) -> dict:
     """Percentile 95% intervals of AUCs and of their differences from a reference, resampling whole groups.
 
-    A group is drawn k times in resample b with k from a Poisson(1) hash of (seed, b, group), so every executor
-    draws alike and no row moves to the driver; resamples with one class are skipped and counted.
+    A group is drawn k times in a resample with k from a Poisson(1) hash, so every executor draws alike and no row
+    moves to the driver; resamples with one class are skipped and counted.
     """
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "_b", group), 11) * F.lit(1.0 / (1 << 53))
-    weight, upto, p = F.lit(0), 0.0, math.exp(-1)
-    for k in range(12):
-        upto += p
-        weight = weight + (u >= upto).cast("int")
-        p /= k + 1
     found: dict[int, dict[str, float]] = {}
+    draws = df.select(group).distinct().withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("_w", poisson_weight(seed, "_b", group)).where("_w > 0")
     for s in scores:
         cells = df.groupBy(label, group, s).agg(F.count(F.lit(1)).alias("_n"))  # rows of a cell are drawn alike
-        draws = cells.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-        weighted = draws.withColumn("_w", weight).where("_w > 0").withColumn("_w", F.col("_w") * F.col("_n"))
+        weighted = cells.join(draws, group).withColumn("_w", F.col("_w") * F.col("_n"))
         for r in _weighted_auc(weighted, label, s).collect():  # one row for each resample
             if r.auc is not None:
                 found.setdefault(r["_b"], {})[s] = r.auc
@@ -365,10 +378,10 @@ def wald(fit: Gee, columns: list[int]) -> tuple[float, int, float]:
     return statistic, len(columns), chi2_tail(statistic, len(columns))
 
 
-def score_test(df: DataFrame, null: list[Column], extra: list[Column], target: Column, cluster: str, binomial: bool = True) -> tuple[float, int, float]:
+def score_test(df: DataFrame, null: list[Column], extra: list[Column], target: Column, cluster: str, binomial: bool = True, exchangeable: bool = True) -> tuple[float, int, float]:
     """The generalised score test of extra terms: the full equations evaluated at the null fit, robust variance."""
-    base = gee(df, null, target, cluster, binomial)
-    at = gee(df, [*null, *extra], target, cluster, binomial, fixed=np.concatenate([base.beta, np.zeros(len(extra))]))
+    base = gee(df, null, target, cluster, binomial, exchangeable)
+    at = gee(df, [*null, *extra], target, cluster, binomial, exchangeable, fixed=np.concatenate([base.beta, np.zeros(len(extra))]))
     a, b = list(range(len(null))), list(range(len(null), len(null) + len(extra)))
     project = at.sensitivity[np.ix_(b, a)] @ np.linalg.pinv(at.sensitivity[np.ix_(a, a)])
     u = at.score[b] - project @ at.score[a]
@@ -414,15 +427,15 @@ def window_rise(readings: DataFrame, key: str, time: str, value: str, early: tup
 def stratified_group_folds(df: DataFrame, group: str, label: str, folds: int = 5, seed: int = 0) -> DataFrame:
     """(group, fold): whole groups dealt to folds so that classes stay balanced.
 
-    Groups are ordered by their number of positives, then a seeded hash, and dealt to and fro over the folds.
+    Groups are ordered by their number of positives and of rows, then a seeded hash, and dealt to and fro over the
+    folds; they are numbered by ranges, not in one task.
     """
-    from pyspark.sql import Window
-
     sizes = df.groupBy(group).agg(F.count_if(F.col(label) == 1).alias("p"), F.count(F.lit(1)).alias("n"))
-    order = Window.orderBy(F.col("p").desc(), F.col("n").desc(), F.xxhash64(F.lit(seed), group), group)  # one row for each group
-    at = F.row_number().over(order) - 1
+    shuffled = F.md5(F.concat_ws(":", F.lit(seed), F.col(group).cast("string")))
+    placed = before(sizes.select(group, F.struct(-F.col("p"), -F.col("n"), shuffled, F.col(group)).alias("_order"), F.lit(1).alias("_one")), [], "_order", ["_one"])
+    at = F.col("_one_before")
     lap, place = F.floor(at / folds), at % folds
-    return sizes.select(group, F.when(lap % 2 == 0, place).otherwise(folds - 1 - place).cast("int").alias("fold"))
+    return placed.select(group, F.when(lap % 2 == 0, place).otherwise(folds - 1 - place).cast("int").alias("fold"))
 
 
 def decide(signal_p: float, gee_low: float, comparisons: dict[str, tuple[float, float]], moderation: dict[str, float], alpha: float = 0.05) -> dict:
@@ -435,17 +448,20 @@ def decide(signal_p: float, gee_low: float, comparisons: dict[str, tuple[float,
 def interaction_bootstrap(rows: DataFrame, value: str, label: str, older: str, cluster: str, resamples: int, seed: int) -> dict[str, float]:
     """The label-by-age interaction of least squares with a cluster bootstrap interval.
 
-    Clusters reduce to sums of products on executors; the driver holds one small row for each cluster.
+    With both factors and their product in the model, the interaction is the difference of the label's effects on
+    the four cells' means. Clusters reduce to sums in these cells and are drawn by hash; the driver sees one row
+    for each resample. A resample in which a cell is empty is skipped.
     """
-    x = [F.lit(1.0), F.col(label).cast("double"), F.col(older).cast("double"), F.col(label).cast("double") * F.col(older).cast("double"), F.col(value).cast("double")]
-    pairs = [(i, j) for i in range(5) for j in range(i, 5)]
-    per = rows.where(F.col(value).isNotNull()).groupBy(cluster).agg(*(F.sum(x[i] * x[j]).alias(f"s{i}_{j}") for i, j in pairs)).orderBy(cluster).collect()
-    table = np.zeros((len(per), 5, 5))
-    for r, row in enumerate(per):
-        for i, j in pairs:
-            table[r, i, j] = table[r, j, i] = row[f"s{i}_{j}"]
-    fit = lambda g: float(np.linalg.lstsq(g[:4, :4], g[:4, 4], rcond=None)[0][3])
-    rng = np.random.default_rng(seed)
-    draws = [fit(table[rng.integers(0, len(per), len(per))].sum(axis=0)) for _ in range(resamples)]
-    low, high = np.percentile(draws, [2.5, 97.5])
-    return {"estimate": round(fit(table.sum(axis=0)), 4), "lower": round(float(low), 4), "upper": round(float(high), 4)}
+    cells = rows.where(F.col(value).isNotNull()).groupBy(cluster, F.col(label).cast("int").alias("_y"), F.col(older).cast("int").alias("_a")).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
+
+    def interaction(df: DataFrame, keys: list[str], weight: Column) -> DataFrame:
+        mean = lambda y, a: F.sum(F.when((F.col("_y") == y) & (F.col("_a") == a), weight * F.col("_s"))) / F.sum(F.when((F.col("_y") == y) & (F.col("_a") == a), weight * F.col("_n")))
+        return df.groupBy(*keys).agg((mean(1, 1) - mean(0, 1) - mean(1, 0) + mean(0, 0)).alias("interaction"))
+
+    estimate = interaction(cells, [], F.lit(1)).first().interaction
+    draws = cells.select(cluster).distinct().withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("_w", poisson_weight(seed, "_b", cluster)).where("_w > 0")
+    found = [r.interaction for r in interaction(cells.join(draws, cluster), ["_b"], F.col("_w")).collect() if r.interaction is not None]
+    if estimate is None or not found:
+        raise StatisticsError("an interaction needs rows in all four cells")
+    low, high = np.percentile(found, [2.5, 97.5])
+    return {"estimate": round(float(estimate), 4), "lower": round(float(low), 4), "upper": round(float(high), 4)}

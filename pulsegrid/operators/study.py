@@ -142,6 +142,20 @@ def _adjusted(raw: dict[str, tuple[float, int, float]]) -> dict[str, JointTest]:
     return {m: JointTest(*t, p) for (m, t), p in zip(raw.items(), stats.holm([t[2] for t in raw.values()]), strict=True)}
 
 
+#: The scales of trend and events over which a calibration runs.
+TREND_SCALES, EVENT_SCALES = (0.0, 0.25, 0.5, 0.75, 1.0, 1.25), (0.6, 0.8, 1.0, 1.2, 1.4)
+
+
+def calibration_grid(scored: DataFrame, label: str = "label") -> DataFrame:
+    """(trend_scale, event_scale, model, news2): the two AUCs at each point of a grid, from rows scored at every point.
+
+    All points are ranked in one job, as groups.
+    """
+    point = ["trend_scale", "event_scale"]
+    one = lambda score: stats.auc_frame(scored, label, score, point).select(*point, F.col("auc").alias(score))
+    return one("model").join(one("news2"), point)
+
+
 def calibration_choice(grid: DataFrame, model: float = 0.80, news2: float = 0.70) -> DataFrame:
     """The row of a grid (trend_scale, event_scale, model, news2) whose two AUCs are nearest to the targets."""
     d = F.sqrt(F.pow(F.col("model") - model, 2) + F.pow(F.col("news2") - news2, 2))

@@ -462,11 +462,6 @@ def route_metrics(spark, sf):
     return state.route_metrics(state.route(rows, ingest.event_error(rows)))
 
 
-@register("stm2_latest_vitals")
-def latest_vitals(spark, sf):
-    return show(state.latest_vitals(_events(Domain(spark, sf))), ["patient_id", "accepted", "stale", *FIELDS])
-
-
 @register("stm14_compacted", sql(f"SELECT patient_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY t DESC, arrival DESC) AS r FROM ({_EVENTS}) WHERE coalesce(source, '') <> 'load_test') WHERE r = 1", "wide"))
 def compacted(spark, sf):
     return state.compacted(_events(Domain(spark, sf))).select("patient_id", "event_id")
@@ -475,25 +470,6 @@ def compacted(spark, sf):
 # ---- generation ----
 
 
-@register("sim1_choose_scenarios")
-def choose_scenarios(spark, sf):
-    d = Domain(spark, sf)
-    return simulate.choose_scenarios(d.patients, "seed", d.admissions.select("patient_id", "scenario"))
-
-
-@register("st1_group_folds")
-def group_folds(spark, sf):
-    return stats.stratified_group_folds(Domain(spark, sf).predictions, "patient_key", "quality")
-
-
-@register("st7_delong")
-def delong(spark, sf):
-    d = Domain(spark, sf)
-    rows = d.predictions.select("quality", "deterioration_probability", (F.col("doc_id") % 17 / 17.0).alias("other"))
-    found = stats.delong(rows, "quality", "deterioration_probability", "other")
-    return spark.createDataFrame([tuple(float(x) for x in vars(found).values())], ", ".join(f"{n} double" for n in vars(found)))
-
-
 @register("sim9_batch_cycles", "SELECT patient_id, run, elapsed FROM (SELECT concat('c', CAST(c_custkey AS VARCHAR)) AS patient_id FROM customer), range(0, 2) AS r(run), (SELECT range AS elapsed FROM range(0, 1800, 300))")
 def batch_cycles(spark, sf):
     return simulate.batch_cycles(spark, Domain(spark, sf).patients, "s", "2024-01-01", runs=2, step=300).select("patient_id", F.col("run").cast("long").alias("run"), F.col("elapsed").cast("long").alias("elapsed"))
@@ -526,12 +502,6 @@ def truthy(spark, sf):
     return Domain(spark, sf).table("events").select("event_id", C.truthy(text).alias("truthy"), C.blank_to_null(F.when(k % 3 == 0, "  ").otherwise(kind)).alias("trimmed"))
 
 
-@register("math10_seeded_draws")
-def seeded_draws(spark, sf):
-    key = F.concat(F.lit("seed:"), F.col("c_custkey"))
-    return Domain(spark, sf).table("customer").select("c_custkey", C.unit_interval(key).alias("u"), C.seeded_index(key, 2).alias("choice"))
-
-
 @register("math9_ramp", "SELECT event_id, round(CASE WHEN event_id % 1200 < 300 OR event_id % 1200 >= 900 THEN 0 ELSE least(1.0, (event_id % 1200 - 300) / 300.0) END, 6) AS share FROM events")
 def ramp(spark, sf):
     return show(Domain(spark, sf).table("events").select("event_id", C.ramp(F.col("event_id") % 1200, 300, 600, 900).alias("share")), ["event_id", "share"])
@@ -574,14 +544,6 @@ def observations(spark, sf):
     return show(out.groupBy("loinc_code").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")), ["loinc_code", "n", "total"], 3)
 
 
-@register("join13_latest_predictions_report")
-def predictions_report(spark, sf):
-    d = Domain(spark, sf)
-    rows = d.features.select("encounter_key", "patient_key", (F.col("feature_observation_count") / 100.0).alias("deterioration_probability"))
-    rows = rows.select(F.lit("m1").alias("model_version"), "encounter_key", "patient_key", F.lit("test").alias("data_split"), F.lit(0).alias("actual_label"), "deterioration_probability", F.lit(1).alias("predicted_label"), F.lit(0.5).alias("decision_threshold"), F.lit("f").alias("feature_schema_version"), F.lit("l").alias("label_definition_version"), F.lit("x").alias("dataset_fingerprint"), F.lit("2024-01-01").alias("scored_at"))
-    return feats.latest_predictions_report(feats.predictions_latest(rows, "m1"), star.dim_patient(d.staged), d.encounters, d.features)
-
-
 @register("stm5_window_scores", sql(f"SELECT encounter_id, count(*) AS readings, round(avg(heart_rate), 6) AS heart_rate_mean, round(stddev_samp(heart_rate), 6) AS heart_rate_stddev, CASE WHEN TIMESTAMP '2024-01-09 00:00:00' < any_value(cutoff) + INTERVAL 60 SECOND THEN 'window_open' ELSE 'scored' END AS status FROM (SELECT *, min(t) OVER (PARTITION BY encounter_id) + INTERVAL 10080 MINUTE AS cutoff FROM (SELECT *, row_number() OVER (PARTITION BY encounter_id, t, observation_id ORDER BY arrival DESC) AS r FROM ({_EVENTS}) WHERE encounter_id IS NOT NULL AND coalesce(source, '') <> 'load_test' AND observation_id IS NOT NULL) WHERE r = 1) WHERE t < cutoff GROUP BY 1", "wide"))
 def window_scores(spark, sf):
     from pulsegrid.functions.catalog import FEATURES
@@ -631,34 +593,3 @@ def nearest_rank(spark, sf):
 @register("agg20_value_sums", sql("SELECT loinc_code, round(sum(CAST(value AS DECIMAL(18, 4))), 4) AS total FROM processed GROUP BY 1", "processed"))
 def value_sums(spark, sf):
     return show(Domain(spark, sf).processed.groupBy("loinc_code").agg(F.sum(F.col("value").cast("decimal(18,4)")).alias("total")), ["loinc_code", "total"], 4)
-
-
-@register("agg18_dataset_fingerprint")
-def dataset_fingerprint(spark, sf):
-    from pulsegrid.operators.model import dataset_fingerprint as fingerprint
-
-    return fingerprint(Domain(spark, sf).training.select("encounter_key", "patient_key", "data_split"), ("encounter_key", "patient_key", "data_split"))
-
-
-@register("ml1_trained_coefficients")
-def trained_coefficients(spark, sf):
-    from pulsegrid.functions.catalog import MODEL_FEATURES
-    from pulsegrid.operators import model
-
-    d = Domain(spark, sf).features.withColumns({"data_split": F.when(F.pmod(F.xxhash64("encounter_key"), F.lit(4)) == 0, "test").otherwise("train"), "feature_schema_version": F.lit("f"), "deterioration_proxy_label": F.pmod(F.xxhash64("encounter_key", F.lit(1)), F.lit(2)).cast("int")})
-    fitted = model.train(d.select("encounter_key", "patient_key", "data_split", "feature_schema_version", "label_definition_version", "deterioration_proxy_label", *MODEL_FEATURES))
-    return model.scoring_frame(spark, fitted["parameters"])
-
-
-@register("st8_group_bootstrap")
-def group_bootstrap(spark, sf):
-    rows = Domain(spark, sf).predictions.select("quality", "patient_key", "deterioration_probability", (F.col("doc_id") % 17 / 17.0).alias("other"))
-    found = stats.group_bootstrap(rows, "quality", ["deterioration_probability", "other"], "patient_key", "other", stats.BOOTSTRAP_RESAMPLES, 7)
-    return spark.createDataFrame([(n, *v) for n, v in found["intervals"].items()], "score string, low double, high double")
-
-
-@register("st3_gee")
-def gee(spark, sf):
-    rows = Domain(spark, sf).predictions.select("quality", "patient_key", "deterioration_probability")
-    fit = stats.gee(rows, [F.lit(1.0), F.col("deterioration_probability")], F.col("quality"), "patient_key")
-    return spark.createDataFrame([(i, float(b), float(fit.robust[i, i])) for i, b in enumerate(fit.beta)], "term int, estimate double, variance double")

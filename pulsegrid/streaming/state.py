@@ -21,6 +21,8 @@ from pulsegrid.operators.ranking import latest_by
 CLAIM_DAYS = 7
 WINDOW_TTL_DAYS = 2
 GRACE_SECONDS = 60
+LEASE_SECONDS = 60
+LOAD_TEST_SECONDS = 24 * 3600
 MAX_REPLAYS = 1
 
 
@@ -38,6 +40,40 @@ def deduplicated(stream: DataFrame, time: str = "event_timestamp", days: int = C
     return stream.groupBy("observation_id").agg(F.min_by(F.struct(*stream.columns), "arrival").alias("r")).select("r.*")
 
 
+CLAIMS = "observation_id string, state string, lease_until timestamp, expires_at timestamp"
+
+
+def claim(claims: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
+    """(observation_id, outcome) of requests for claims, one a request id: claimed, duplicate or in_progress.
+
+    An id is claimed where it has no claim, its claim has expired, or its processing has outlasted its lease; a
+    completed one is a duplicate, and one that is still processed must be retried later.
+    """
+    held = claims.select("observation_id", F.col("state").alias("_s"), F.col("lease_until").alias("_l"), F.col("expires_at").alias("_e"))
+    rows = requests.select("observation_id").distinct().join(held, "observation_id", "left")
+    free = F.col("_s").isNull() | (F.col("_e") <= now) | ((F.col("_s") == "processing") & (F.col("_l") < now))
+    return rows.select("observation_id", F.when(free, "claimed").when(F.col("_s") == "completed", "duplicate").otherwise("in_progress").alias("outcome"))
+
+
+def claims_after(claims: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
+    """The claims once the claimed ones hold a new lease; expired claims of others go."""
+    taken = outcomes.where("outcome = 'claimed'").select("observation_id")
+    kept = claims.where(F.col("expires_at") > now).join(taken, "observation_id", "left_anti").select("observation_id", "state", "lease_until", "expires_at")
+    lease, expiry = now + F.make_dt_interval(secs=F.lit(LEASE_SECONDS)), now + F.make_dt_interval(days=F.lit(CLAIM_DAYS))
+    return kept.unionByName(taken.select("observation_id", F.lit("processing").alias("state"), lease.alias("lease_until"), expiry.alias("expires_at")))
+
+
+def handled(records: DataFrame, error: str = "error", permanent: str = "permanent") -> DataFrame:
+    """Adds handling: done, dead_letter for permanent failures, and retry for others, which a batch reports one by one."""
+    return records.withColumn("handling", F.when(F.col(error).isNull(), "done").when(F.col(permanent), "dead_letter").otherwise("retry"))
+
+
+def load_test_results(routed: DataFrame, now: Column) -> DataFrame:
+    """Load-test events for their own sink, each id once, with the second at which they expire a day later."""
+    rows = deduplicated(routed.where("route = 'load_test'"))
+    return rows.withColumn("expires_at", F.unix_seconds(now) + LOAD_TEST_SECONDS)
+
+
 def route(events: DataFrame, error: Column) -> DataFrame:
     """Adds route: rejected, load_test or live."""
     return events.withColumn("route", F.when(error.isNotNull(), "rejected").when(F.col("source") == "load_test", "load_test").otherwise("live"))
@@ -168,6 +204,19 @@ def window_scores(readings: DataFrame, now: Column, minutes: int, score: Column
     return out.withColumn("probability", F.when(F.col("status") == "scored", score) if score is not None else F.lit(None).cast("double"))
 
 
+def score_requests(requests: DataFrame, readings: DataFrame, stored: DataFrame, now: Column, minutes: int, score: Column | None, model_version: str | None, features) -> DataFrame:
+    """Requests (encounter_id) with status and probability: a stored score of the model first, else the window's state.
+
+    status: no_encounter, no_approved_model, no_readings, or what ``window_scores`` says.
+    """
+    found = window_scores(readings, now, minutes, score, model_version, features).select("encounter_id", F.col("status").alias("_s"), F.col("probability").alias("_p"))
+    old = stored.where(F.col("model_version") == F.lit(model_version)).groupBy("encounter_id").agg(F.max("probability").alias("_old"))
+    rows = requests.join(old, "encounter_id", "left").join(found, "encounter_id", "left")
+    status = F.when(C.is_blank(F.col("encounter_id")), "no_encounter").when(F.lit(model_version is None), "no_approved_model")
+    status = status.when(F.col("_old").isNotNull(), "scored").when(F.col("_s").isNull(), "no_readings").otherwise(F.col("_s"))
+    return rows.select(*requests.columns, status.alias("status"), F.coalesce("_old", "_p").alias("probability"))
+
+
 def first_scores(stored: DataFrame, scored: DataFrame) -> DataFrame:
     """Stored scores with new ones added; the first of an encounter and model version stays."""
     fresh = scored.where("status = 'scored'").join(stored.select("encounter_id", "model_version"), ["encounter_id", "model_version"], "left_anti")
@@ -184,6 +233,12 @@ def degraded_runs(cycles: DataFrame, threshold: float) -> DataFrame:
     return rows.where("bad").groupBy("run_id", "_g").agg(F.min("cycle").alias("first_cycle"), F.count(F.lit(1)).alias("length")).drop("_g")
 
 
+def until_disabled(cycles: DataFrame) -> DataFrame:
+    """Cycles (patient_id, cycle, outcome) up to each patient's first permanent failure, which disables the patient."""
+    first = cycles.groupBy("patient_id").agg(F.min(F.when(F.col("outcome") == "permanent", F.col("cycle"))).alias("_f"))
+    return cycles.join(first, "patient_id").where("_f is null or cycle <= _f").select(*cycles.columns)
+
+
 def long_to_wide(measurements: DataFrame) -> DataFrame:
     """Events with vital fields from measurement rows of one observation."""
     keys = [c for c in ("observation_id", "patient_id", "encounter_id", "source", "event_timestamp", "arrival") if c in measurements.columns]

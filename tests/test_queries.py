@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from pulsegrid.plans import registry, vitals  # noqa: F401
+from pulsegrid.plans import clinical, modelling, registry, storage, vitals  # noqa: F401
 from tests.compare import differ, duck
 
 SF = "/root/testdata/sf0.001"
