@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import columns as C
 from pulsegrid.functions.catalog import FEATURE_COLUMNS, FEATURES, MODEL_FEATURES
 from pulsegrid.operators import features as feats
-from pulsegrid.operators import model, star, stats, study
+from pulsegrid.operators import model, quality, star, stats, study
 from pulsegrid.plans.domain import Domain, sql
 from pulsegrid.plans.registry import register
 from pulsegrid.plans.vitals import _EVENTS, _events, show
@@ -68,8 +68,9 @@ def dataset_contract(spark, sf):
 @register("ml3_manifest", sql(f"SELECT 'logistic_regression' AS model_type, count(*) FILTER (split = 'train') AS training_rows, count(*) FILTER (split = 'test') AS test_rows, count(*) FILTER (split = 'train' AND y = 0) AS negatives, count(*) FILTER (split = 'train' AND y = 1) AS positives, true AS version_follows, true AS order_free FROM {_LABELLED}", "features"))
 def manifest(spark, sf):
     rows = _labelled(Domain(spark, sf))
-    m, again = (model.train(df)["manifest"] for df in (rows, rows.orderBy(F.desc("encounter_key"))))
-    held = (m["model_type"], m["training_row_count"], m["test_row_count"], m["training_class_counts"]["0"], m["training_class_counts"]["1"], m["model_version"] == f"logistic-{m['dataset_fingerprint'][:12]}", m["dataset_fingerprint"] == again["dataset_fingerprint"])
+    m = model.train(rows)["manifest"]
+    again = quality.table_fingerprint(rows.select(*model.REQUIRED).orderBy(F.desc("encounter_key"))).first().fingerprint
+    held = (m["model_type"], m["training_row_count"], m["test_row_count"], m["training_class_counts"]["0"], m["training_class_counts"]["1"], m["model_version"] == f"logistic-{m['dataset_fingerprint'][:12]}", m["dataset_fingerprint"] == again)
     return spark.createDataFrame([held], "model_type string, training_rows long, test_rows long, negatives long, positives long, version_follows boolean, order_free boolean")
 
 
