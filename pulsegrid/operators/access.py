@@ -9,11 +9,17 @@ from pulsegrid.functions.catalog import FIELDS
 from pulsegrid.functions.columns import glob_match
 
 
+MOST_RULES = 10_000
+
+
 def authorized(requests: DataFrame, policy: DataFrame, principal: str = "principal", patient: str = "patient_id") -> DataFrame:
     """Requests that some policy row (principal_pattern, patient_pattern) allows; patterns are shell globs.
 
-    The policy is a short configured list. A request without a principal is not allowed.
+    The policy is a configured list of at most MOST_RULES rows, which is checked, as it travels to all tasks. A request
+    without a principal is not allowed.
     """
+    if policy.limit(MOST_RULES + 1).count() > MOST_RULES:
+        raise ValueError(f"a policy holds at most {MOST_RULES} rules")
     rules = policy.agg(F.collect_list(F.struct("principal_pattern", "patient_pattern")).alias("_rules"))
     hit = F.exists("_rules", lambda r: glob_match(F.col(principal), r["principal_pattern"]) & glob_match(F.col(patient), r["patient_pattern"]))
     return requests.crossJoin(F.broadcast(rules)).where(F.coalesce(hit, F.lit(False))).drop("_rules")  # a single row

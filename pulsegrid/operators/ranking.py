@@ -60,12 +60,6 @@ def recent_history(df: DataFrame, key: str, time: str, arrival: str, limit: int
     return once.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).drop("_n")
 
 
-def nearest_rank(values: str, fraction: float) -> Column:
-    """The value at floor((n - 1) * fraction) of the sorted values of a group that fits into one task."""
-    ordered = F.sort_array(F.collect_list(values))
-    return F.element_at(ordered, (F.floor((F.size(ordered) - 1) * F.lit(fraction)) + 1).cast("int"))
-
-
 def distributed_nearest_rank(df: DataFrame, value: str, fractions: list[float]) -> DataFrame:
     """(fraction, value) by nearest floor rank over a table of any size, through counts of distinct values."""
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("c"))
@@ -77,12 +71,25 @@ def distributed_nearest_rank(df: DataFrame, value: str, fractions: list[float])
     return hit.select("fraction", value)
 
 
-def latency_summary(df: DataFrame, value: str, group: list[str] | None = None) -> DataFrame:
-    """Count, mean, nearest-rank percentiles and maximum, rounded to two digits, of groups that fit into one task."""
-    aggs = [F.count(value).alias("observed"), F.round(F.avg(value), 2).alias("mean_ms")]
-    aggs += [F.round(nearest_rank(value, p), 2).alias(f"p{int(p * 100)}_ms") for p in (0.50, 0.95, 0.99)]
-    aggs += [F.round(F.max(value), 2).alias("max_ms")]
-    return df.groupBy(*group).agg(*aggs) if group else df.agg(*aggs)
+def latency_summary(df: DataFrame, value: str, group: list[str] | None = None, fractions: tuple[float, ...] = (0.50, 0.95, 0.99)) -> DataFrame:
+    """Count, mean, nearest-floor-rank percentiles and maximum of each group, rounded to two digits.
+
+    Works on the counts of distinct values and their running sums, so a group of any size goes through no one task.
+    """
+    keys = list(group or [])
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    placed = before(counts, keys, value, ["_c"])
+    totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"), (F.sum(F.col("_c") * F.col(value)) / F.sum("_c")).alias("_mean"))
+    totals = totals.select("_n", "_mean", *(F.col(k).alias(f"_total_{k}") for k in keys))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_total_{k}")) for k in keys), F.lit(True))
+    rows = placed.join(totals, same) if keys else placed.crossJoin(F.broadcast(totals))  # a single row
+
+    def at(fraction: float) -> Column:
+        rank = F.floor((F.col("_n") - 1) * F.lit(fraction)) + 1
+        return F.max(F.when((rank > F.col("_c_before")) & (rank <= F.col("_c_before") + F.col("_c")), F.col(value)))
+
+    aggs = [F.max("_n").alias("observed"), F.round(F.max("_mean"), 2).alias("mean_ms"), *(F.round(at(p), 2).alias(f"p{int(p * 100)}_ms") for p in fractions), F.round(F.max(value), 2).alias("max_ms")]
+    return rows.groupBy(*keys).agg(*aggs)
 
 
 def gate_interval(df: DataFrame, key: str, elapsed: str, interval: float, suppress_first: bool = False) -> DataFrame:

@@ -522,13 +522,12 @@ def parsed_props(spark, sf):
     return Domain(spark, sf).table("events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@register("src3_decoded_records", "SELECT event_id, CAST(user_id AS VARCHAR) AS patient_id, event_id % 10 = 0 AS failed FROM events")
+@register("src3_decoded_records", "SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN CAST(user_id AS VARCHAR) END AS patient_id, event_id % 10 = 0 AS failed FROM events")
 def decoded_records(spark, sf):
     body = F.to_json(F.struct(F.col("user_id").cast("string").alias("patient_id"), F.col("value").cast("string").alias("heart_rate")))
     data = F.when(F.col("event_id") % 10 == 0, "***").otherwise(F.base64(F.encode(body, "UTF-8")))
-    e = Domain(spark, sf).table("events").select("event_id", F.col("user_id").cast("string").alias("u"), data.alias("data"))
-    out = ingest.decode_records(e)
-    return out.select("event_id", F.coalesce("event.patient_id", "u").alias("patient_id"), F.col("error").isNotNull().alias("failed"))
+    out = ingest.decode_records(Domain(spark, sf).table("events").select("event_id", data.alias("data")))
+    return out.select("event_id", F.col("event.patient_id").alias("patient_id"), F.col("error").isNotNull().alias("failed"))
 
 
 @register("prj10_quarantine_replay", sql("SELECT observation_id, patient_id, 'quarantine_replay' AS source, strftime(effective_datetime, '%Y-%m-%d %H:%M:%S') AS event_timestamp, round(CASE WHEN loinc_code = '8867-4' THEN value END, 6) AS heart_rate, trim(patient_id) = '' OR effective_datetime IS NULL AS refused FROM (SELECT * FROM classified WHERE rejection_reason IS NOT NULL)", "classified").replace("trim(patient_id) = '' OR effective_datetime IS NULL", "effective_datetime IS NULL"))

@@ -6,6 +6,7 @@ import re
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -40,29 +41,54 @@ def add_missing_columns(df: DataFrame, other: DataFrame) -> DataFrame:
     return df.withColumns({c: F.lit(None).cast(other.schema[c].dataType) for c in other.columns if c not in df.columns})
 
 
-def upsert(spark: SparkSession, path: str, incoming: DataFrame, tie: str = "strict", delete_missing: bool = False) -> str:
+class Conflict(RuntimeError):
+    """Another writer has moved the table on since this load read it."""
+
+
+def _log(spark: SparkSession, path: str):
+    """(file system, path class, log folder, sorted names of its entries) of a versioned table."""
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    folder = of(f"{path.rstrip('/')}/_log")
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
+    return fs, of, folder.toString(), [n for n in names if n.isdigit()]
+
+
+def upsert(spark: SparkSession, path: str, incoming: DataFrame, tie: str = "strict", delete_missing: bool = False, versions: int = 2) -> str:
     """Merges records into the table at path: a new version beside the old, then a pointer moves to it.
 
-    Readers go through ``current``. Versions are whole, so a failed load leaves the old one in place.
+    Readers go through ``current``. Versions are whole, so a failed load leaves the old one in place. Log entries are
+    numbered, and an entry is created only where there is none, so of two loads that read one version the later
+    raises Conflict, and loses nothing of the other's. The last versions stay for readers that still use them.
     """
+    fs, of, folder, names = _log(spark, path)
     once = latest_per_key(incoming)
     old = current(spark, path)
     merged = once if old is None else merge(old, once, tie, delete_missing)
     version = f"{path.rstrip('/')}/v_{uuid.uuid4().hex}"
     write_by_day(merged, version)
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").json(f"{path.rstrip('/')}/_log/{spark.sparkContext.startTime}_{uuid.uuid1().time:020d}")
+    number = int(names[-1]) + 1 if names else 0
+    try:
+        out = fs.create(of(f"{folder}/{number:020d}"), False)
+    except Py4JJavaError as error:
+        fs.delete(of(version), True)
+        raise Conflict(f"{path} has moved on; read it and load again") from error
+    out.write(bytearray(version.encode()))
+    out.close()
+    for name in names[: len(names) + 1 - versions]:  # versions before the kept ones
+        gone = _version(spark, f"{folder}/{name}")
+        fs.delete(of(gone), True)
     return version
 
 
+def _version(spark: SparkSession, entry: str) -> str:
+    return spark.read.text(entry).first().value
+
+
 def current(spark: SparkSession, path: str) -> DataFrame | None:
     """The table's newest version, or none."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_log")
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
-        return None
-    names = sorted(s.getPath().getName().rsplit("_", 1)[-1] + "|" + s.getPath().toString() for s in fs.listStatus(hadoop))
-    version = spark.read.schema("version string").json(names[-1].split("|", 1)[1]).first().version
-    return read_by_day(spark, version)
+    _, _, folder, names = _log(spark, path)
+    return read_by_day(spark, _version(spark, f"{folder}/{names[-1]}")) if names else None
 
 
 def replace_table(df: DataFrame, path: str) -> None:

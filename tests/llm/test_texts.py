@@ -497,6 +497,18 @@ def test_retrieval_finds_what_an_exhaustive_scan_finds():
     assert wanted > 400 and found >= 0.995 * wanted, (found, wanted)
 
 
+def test_scans_do_not_depend_on_the_texts_beside(monkeypatch):
+    rng = random.Random(9)
+    texts = [None, "", "MIT License"] + ["x y " * rng.randrange(60) + rng.choice(list(licenses.TEMPLATES.values())).replace("and", "or") + " z" * rng.randrange(60) for _ in range(60)]
+    scanner = licenses.Scanner()
+    alone = [scanner.scan(t) for t in texts]
+    assert scanner.many(texts) == alone and sum(map(bool, alone)) > 40
+    monkeypatch.setattr(licenses, "STEP", 64)
+    monkeypatch.setattr(licenses, "GROUP_WORDS", 300)
+    monkeypatch.setattr(licenses, "REMEMBERED", 20)
+    assert scanner.many(texts) == alone
+
+
 def test_license_rows(spark):
     rows = [(1, "x. Released under the MIT License.", 2.0), (2, None, None), (3, "", 0.0), (None, "All rights reserved.", 1.0), (1, "x. Released under the MIT License.", 2.0), (5, "w " * 40_000 + licenses.TEMPLATES["MIT:text"], 0.0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, containment double")

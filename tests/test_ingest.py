@@ -7,6 +7,7 @@ import hashlib
 import json
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.catalog import FIELDS
@@ -142,3 +143,25 @@ def test_half_open_versions_and_lost_encounters(spark):
     assert got[0].provider_version_key == hashlib.md5(b"n1|2024-01-10").hexdigest()
     attended = star.dim_encounter(staged, providers, spark.createDataFrame([("e1", "n1")], "encounter_id string, attending_npi string")).first()
     assert not attended.is_synthetic_provider_assignment
+
+
+def test_two_loads_of_one_version_conflict_and_old_versions_go(spark, tmp_path, monkeypatch):
+    import os
+
+    path = str(tmp_path / "table")
+    load = lambda n, hour: spark.createDataFrame([(f"o{n}", "c", "e", float(n), f"2024-01-01 {hour:02d}:00:00", "2024-01-01 00:00:00")], "observation_id string, loinc_code string, encounter_id string, value double, received_at string, effective_datetime string").selectExpr("observation_id", "loinc_code", "encounter_id", "value", "CAST(received_at AS timestamp) received_at", "CAST(effective_datetime AS timestamp) effective_datetime")
+    assert sinks.current(spark, path) is None
+    for n in range(4):
+        sinks.upsert(spark, path, load(n, n))
+    assert sinks.current(spark, path).count() == 4 and len([f for f in os.listdir(path) if f.startswith("v_")]) == 2
+    write = sinks.write_by_day
+
+    def slow(df, version, **more):
+        write(df, version, **more)
+        monkeypatch.setattr(sinks, "write_by_day", write)
+        sinks.upsert(spark, path, load(8, 8))  # another load overtakes this one
+
+    monkeypatch.setattr(sinks, "write_by_day", slow)
+    with pytest.raises(sinks.Conflict):
+        sinks.upsert(spark, path, load(9, 9))
+    assert sorted(r.observation_id for r in sinks.current(spark, path).collect()) == ["o0", "o1", "o2", "o3", "o8"]
