@@ -5,12 +5,12 @@ triples in order, each weighing DECAY to the power of the span that it covers (S
 "idxiot" and "i.d.i.o.t" stay near "idiot". The machine is linear in the kernel's Nyström features at a set of
 landmarks, with a squared hinge loss.
 
-A text is read through small windows (its units): every word, every two neighbouring words as one string, which
-brings together "st upid" and phrases like "drop dead", every three short neighbours, and letters that are spaced
-out. Labels belong to documents, so training is multiple-instance (Andrews et al., 2003): every unit of a clean
+A text is read through small windows (its units): every word, every two neighbouring words with the gap between
+them, which covers "st upid" and phrases like "drop dead", every three short neighbours likewise, and letters that
+are spaced out, joined. Labels belong to documents, so training is multiple-instance (Andrews et al., 2003): every unit of a clean
 document is a negative example, and of a toxic document the units that most likely made it toxic are positive;
 the machine then chooses these units anew, and adds the clean units that it gets most wrong. Copies of the
-positive units with characters inserted or left out are trained on too. A document's score is that of its most
+positive units with characters inserted or left out, or with a gap, are trained on too. A document's score is that of its most
 toxic unit, turned into a probability by a logistic fit on documents that the machine was not trained on.
 
 The machine is a sum over landmarks of kernels, and a kernel is a sum over triples, so all landmarks fold into
@@ -46,16 +46,20 @@ LONGEST, SPACED = 24, 8
 NEGATIVES, PAIRS = 12_000, 60_000
 #: Toxic documents that must share two neighbouring words for these to count as what made them toxic.
 SHARED = 2
+#: How many times likelier in toxic than in clean documents a unit of both must be to count so; a label may be wrong.
+ODDS = 20.0
 ROUNDS = 5
-COST = 4.0
+#: Weight of the errors, and the decision value that positive units are held to; clean ones are held to -1, but a clean
+#: document has as many chances to come near as it has units.
+COST, MARGIN = 4.0, 2.0
 THRESHOLD = 0.3
 SEED = 7
 #: Words that a worker remembers, and the characters of texts that it scores at once.
 REMEMBERED = 400_000
 GROUP_CHARS = 1 << 20
 
-#: Classes of characters: letters from 1, digits from 27, other letters, and a word's two ends.
-OTHER, START, END, CLASSES = 37, 38, 39, 40
+#: Classes of characters: letters from 1, digits from 27, other letters, a unit's two ends, and the gap between words.
+OTHER, START, END, GAP, CLASSES = 37, 38, 39, 40, 41
 
 
 class _Classes(dict):
@@ -76,7 +80,7 @@ class _Classes(dict):
 
 
 _CLASSES = _Classes()
-_START, _END = bytes([START]), bytes([END])
+_START, _END, _GAP = bytes([START]), bytes([END]), bytes([GAP])
 
 
 def inner(word: str) -> bytes:
@@ -102,10 +106,10 @@ def spaced(letters: bytes) -> list[bytes]:
 
 
 def pair(a: bytes, b: bytes) -> bytes:
-    """Two neighbours as one string; of long ones the parts that meet."""
+    """Two neighbours and the gap between them; of long ones the parts that meet."""
     if len(a) + len(b) > LONGEST:
         a, b = a[-LONGEST // 2 :], b[: LONGEST // 2]
-    return _START + a + b + _END
+    return _START + a + _GAP + b + _END
 
 
 @lru_cache(maxsize=64)
@@ -181,10 +185,10 @@ def _runs(parts: list[bytes]) -> Iterator[bytes]:
 
 
 def _shorts(parts: list[bytes]) -> Iterator[bytes]:
-    """Three neighbours of at most three letters each, not all of one, joined."""
+    """Three neighbours of at most three letters each, not all of one, with their gaps."""
     for a, b, c in zip(parts, parts[1:], parts[2:], strict=False):
         if len(a) <= 3 and len(b) <= 3 and len(c) <= 3 and len(a) + len(b) + len(c) >= 4:
-            yield a + b + c
+            yield _START + a + _GAP + b + _GAP + c + _END
 
 
 def parts_of(text: str | None) -> list[bytes]:
@@ -196,7 +200,7 @@ def units(parts: list[bytes]) -> set[bytes]:
     """All units of a text but its pairs."""
     out = {w for p in set(parts) for w in windows(p)}
     out.update(w for run in _runs(parts) for w in spaced(run))
-    out.update(w for three in set(_shorts(parts)) for w in windows(three))
+    out.update(_shorts(parts))
     return out
 
 
@@ -217,13 +221,20 @@ def _noisy(unit: bytes, rng: np.random.Generator) -> bytes:
     return unit[:1] + bytes(out[:LONGEST]) + unit[-1:]
 
 
+def _gapped(unit: bytes, rng: np.random.Generator) -> bytes:
+    """The unit with a gap at some place, at least two characters from its ends."""
+    at = int(rng.integers(3, len(unit) - 2))
+    return unit[:at] + _GAP + unit[at:]
+
+
 def _solve(x: np.ndarray, y: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Newton steps for the squared-hinge machine; x ends in a constant column."""
+    """Newton steps for the squared-hinge machine; x ends in a constant column. Positive units are held to MARGIN."""
+    wanted = np.where(y > 0, MARGIN, 1.0)
     w = np.zeros(x.shape[1])
     reg = np.eye(x.shape[1])
     reg[-1, -1] = 1e-3
     for _ in range(30):
-        margin = 1 - y * (x @ w)
+        margin = wanted - y * (x @ w)
         on = np.flatnonzero(margin > 0)
         grad, hess = reg @ w, reg.copy()
         for at in range(0, len(on), 4096):
@@ -283,9 +294,9 @@ def train(docs: list[tuple[str | None, int]]) -> Machine | None:
     del numbers, others
     odds = np.log((in_toxic + 0.1) / len(fit_t)) - np.log((in_clean + 0.1) / len(fit_c))
     positive = Counter(words[u[np.argmax(odds[u])]] for u in bags[0] if len(u))
-    all_clean = np.flatnonzero(in_clean > 0)
+    own = (in_toxic > 0) & ((in_clean == 0) | (odds > np.log(ODDS)))  # units that may have made a document toxic
+    all_clean = np.flatnonzero((in_clean > 0) & ~own)
     negative = all_clean[rng.permutation(len(all_clean))[:NEGATIVES]]
-    own = (in_toxic > 0) & (in_clean == 0)  # units that may have made a document toxic
     for at in range(ROUNDS):
         machine = _machine(positive, [words[i] for i in np.unique(negative).tolist()], rng)
         if at + 1 == ROUNDS:
@@ -296,7 +307,10 @@ def train(docs: list[tuple[str | None, int]]) -> Machine | None:
             mine = u[own[u]]
             if len(mine):
                 best = mine[np.argmax(value[mine])]
-                chosen.update(words[i] for i in {int(best), *mine[value[mine] > 0.5].tolist()})
+                # a label may be wrong: later on a unit of one document alone must look toxic to the machine
+                if at < ROUNDS // 2 or value[best] > 0 or in_toxic[best] >= SHARED:
+                    chosen[words[best]] += 1
+                chosen.update(words[i] for i in mine[value[mine] > 0.5].tolist() if i != best)
         positive = chosen or positive
         hard = all_clean[np.argsort(-value[all_clean], kind="stable")[: NEGATIVES // 4]]
         negative = np.concatenate([negative, hard])
@@ -319,6 +333,11 @@ def _machine(positive: Counter, negative: list[bytes], rng: np.random.Generator)
                 lists.append(noisy)
                 weight.append(min(n, 20) / 8 + 0.25)
                 label.append(1.0)
+        if n > 1 and len(u) >= 7 and _GAP not in u:
+            once = _gapped(u, rng)
+            lists += [once, _gapped(once, rng)]
+            weight += [min(n, 20) / 8 + 0.25] * 2
+            label += [1.0] * 2
     lists += negative
     weight += [1.0] * len(negative)
     label += [-1.0] * len(negative)
@@ -340,21 +359,32 @@ def _machine(positive: Counter, negative: list[bytes], rng: np.random.Generator)
 
 
 def _logistic(value: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """A logistic fit with smoothed targets (Platt, 1999)."""
+    """A logistic fit with smoothed targets (Platt, 1999), by Newton steps that are halved until the loss falls.
+
+    Both classes weigh alike: their shares are the sample's bounds.
+    """
     n1, n0 = label.sum(), (1 - label).sum()
+    weight = np.where(label > 0, 0.5 / n1, 0.5 / n0) * (n1 + n0)
     target = np.where(label > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    slope, offset = 1.0, 0.0
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(slope * value + offset, -30, 30)))
-        g = np.array([((p - target) * value).sum() + 1e-3 * slope, (p - target).sum()])
-        r = np.maximum(p * (1 - p), 1e-9)
-        h = np.array([[(r * value**2).sum() + 1e-3, (r * value).sum()], [(r * value).sum(), r.sum()]])
-        step = np.linalg.solve(h + 1e-9 * np.eye(2), g)
-        step *= min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))
-        slope, offset = slope - step[0], offset - step[1]
-        if np.abs(step).max() < 1e-8:
+    x = np.stack([value, np.ones(len(value))], axis=1)
+
+    def loss(beta: np.ndarray) -> float:
+        z = x @ beta
+        return float((weight * (np.logaddexp(0, z) - target * z)).sum() + 5e-4 * beta[0] ** 2)
+
+    beta, at = np.zeros(2), loss(np.zeros(2))
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -500, 500)))
+        g = x.T @ (weight * (p - target)) + [1e-3 * beta[0], 0]
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag([1e-3, 1e-9])
+        step = np.linalg.solve(h, g)
+        while np.abs(step).max() > 1e-9 and loss(beta - step) > at:
+            step /= 2
+        if np.abs(step).max() <= 1e-9:
             break
-    return float(max(slope, 1e-6)), float(offset)
+        beta = beta - step
+        at = loss(beta)
+    return float(max(beta[0], 1e-6)), float(beta[1])
 
 
 class Scorer:
@@ -395,9 +425,10 @@ class Scorer:
 
     def _group(self, texts: list[str]) -> list[float]:
         split = [t.lower().split() for t in texts]
-        known = self._classes(set().union(*split))
+        distinct = set().union(*split)
+        known = self._classes(distinct)
         numbers: dict[bytes, int] = {}
-        local = {w: numbers.setdefault(known[w], len(numbers)) for w in set().union(*split)}
+        local = {w: numbers.setdefault(known[w], len(numbers)) for w in distinct}
         words = list(numbers)
         ids = np.fromiter(map(local.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
         text_of = np.repeat(np.arange(len(texts)), [len(s) for s in split])
@@ -423,11 +454,10 @@ class Scorer:
 
     def _pairs(self, words: list[bytes], size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The values of pairs of words, put together as matrices of equally long parts."""
-        heads, tails = np.zeros((len(words), LONGEST), np.uint8), np.zeros((len(words), LONGEST), np.uint8)
-        for i, w in enumerate(words):
-            n = min(len(w), LONGEST)
-            heads[i, :n] = np.frombuffer(w, np.uint8, n)
-            tails[i, LONGEST - n :] = np.frombuffer(w, np.uint8, n, len(w) - n)
+        flat = np.frombuffer(bytes(LONGEST) + b"".join(words) + bytes(LONGEST), np.uint8)
+        ends = LONGEST + np.cumsum(size)
+        # a word's first and last characters; what lies beyond the word is not read
+        heads, tails = flat[(ends - size)[:, None] + np.arange(LONGEST)], flat[ends[:, None] + np.arange(-LONGEST, 0)]
         long = size[a] + size[b] > LONGEST
         la, lb = np.where(long, np.minimum(size[a], LONGEST // 2), size[a]), np.where(long, np.minimum(size[b], LONGEST // 2), size[b])
         key = la * 64 + lb
@@ -435,13 +465,13 @@ class Scorer:
         out = np.empty(len(a))
         for rows in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
             m, n = int(la[rows[0]]), int(lb[rows[0]])
-            step = max(1, 1_000_000 // len(_triples(m + n + 2)[1]))
+            step = max(1, 1_000_000 // len(_triples(m + n + 3)[1]))
             for at in range(0, len(rows), step):
                 part = rows[at : at + step]
-                whole = np.empty((len(part), m + n + 2), np.uint8)
-                whole[:, 0], whole[:, -1] = START, END
+                whole = np.empty((len(part), m + n + 3), np.uint8)
+                whole[:, 0], whole[:, m + 1], whole[:, -1] = START, GAP, END
                 whole[:, 1 : m + 1] = tails[a[part], LONGEST - m :]
-                whole[:, m + 1 : -1] = heads[b[part], :n]
+                whole[:, m + 2 : -1] = heads[b[part], :n]
                 out[part] = self.machine.matrix(whole)
         return out
 
@@ -453,7 +483,7 @@ class Scorer:
         owners, lists = [], []
         for at in three[total >= 4].tolist():
             owners.append(int(text_of[at]))
-            lists.append(_START + words[ids[at]] + words[ids[at + 1]] + words[ids[at + 2]] + _END)
+            lists.append(_START + words[ids[at]] + _GAP + words[ids[at + 1]] + _GAP + words[ids[at + 2]] + _END)
         for text in np.unique(text_of[three[total == 3]]).tolist():
             first, last = np.searchsorted(text_of, [text, text + 1])
             for run in _runs([words[i] for i in ids[first:last].tolist()]):
