@@ -13,6 +13,7 @@ from pulsegrid.functions import columns as C
 from pulsegrid.functions.catalog import MODEL_FEATURES
 from pulsegrid.operators import stats
 from pulsegrid.operators.quality import table_fingerprint
+from pulsegrid.session import keep
 
 TARGET = "deterioration_proxy_label"
 REQUIRED = ("encounter_key", "patient_key", "data_split", "feature_schema_version", "label_definition_version", TARGET, *MODEL_FEATURES)
@@ -64,6 +65,7 @@ def train(df: DataFrame) -> dict:
     The penalty holds the intercept too, as a constant column; returns parameters and manifest as plain data. The
     dataset's fingerprint is the one that needs no order (``table_fingerprint``), so no task sees all rows.
     """
+    df = keep(df)  # read by each of the steps below
     validate_training(df)
     rows = df.where("data_split = 'train'")
     counts = {r[TARGET]: r["n"] for r in rows.groupBy(TARGET).agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -6,10 +6,12 @@ What reaches the driver has the size of the model (a few dozen numbers) or of a
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -243,19 +245,41 @@ def linear(design: list[Column], beta: np.ndarray) -> Column:
     return total
 
 
+def _newton_sums(rows: DataFrame, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hessian, gradient) of the log loss at beta, from rows (x0, ..., y, w) without nulls: one row of sums from each task.
+
+    The coefficients change with each step, so as literals they would make Spark compile new code for each.
+    """
+    k = len(beta)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, g = np.zeros((k, k)), np.zeros(k)
+        for batch in batches:
+            table = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+            x, y, w = table[:, :k], table[:, k], table[:, k + 1]
+            p = 1.0 / (1.0 + np.exp(-np.clip(x @ beta, -500, 500)))
+            h += (x * (w * p * (1.0 - p))[:, None]).T @ x
+            g += x.T @ (w * (p - y))
+        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([h.ravel(), g])], pa.list_(pa.float64()))], names=["s"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = sum((b.column(0).flatten().to_numpy().reshape(-1, k * k + k).sum(axis=0) for b in batches if b.num_rows), np.zeros(k * k + k))
+        yield pa.RecordBatch.from_arrays([pa.array([whole], pa.list_(pa.float64()))], names=["s"])
+
+    found = np.array(rows.mapInArrow(part, "s array<double>").repartition(1).mapInArrow(total, "s array<double>").first().s)
+    return found[: k * k].reshape(k, k), found[k * k :]
+
+
 def logistic_fit(df: DataFrame, design: list[Column], label: Column, weight: Column | None = None, ridge: float = 0.0, iterations: int = 50, tolerance: float = 1e-9) -> np.ndarray:
-    """Newton's method on sum of weights * log loss + ridge / 2 * |beta|^2; each step is one aggregation."""
+    """Newton's method on sum of weights * log loss + ridge / 2 * |beta|^2; each step is one pass. Rows with a null do not count."""
     w = weight if weight is not None else F.lit(1.0)
     names = [f"x{i}" for i in range(len(design))]
-    rows = df.select(*(c.cast("double").alias(n) for c, n in zip(design, names, strict=True)), label.cast("double").alias("y"), w.cast("double").alias("w")).persist()
-    xs = [F.col(n) for n in names]
+    rows = df.select(*(c.cast("double").alias(n) for c, n in zip(design, names, strict=True)), label.cast("double").alias("y"), w.cast("double").alias("w")).dropna().persist()
     beta = np.zeros(len(design))
     try:
         for _ in range(iterations):
-            p = 1.0 / (1.0 + F.exp(-linear(xs, beta)))
-            h = gram(rows.withColumn("_p", p), xs, F.col("w") * F.col("_p") * (1.0 - F.col("_p")))
-            g = rows.withColumn("_r", F.col("w") * (p - F.col("y"))).agg(*(F.sum(F.col("_r") * x).alias(n) for x, n in zip(xs, names, strict=True))).first()
-            step = np.linalg.solve(h + (ridge + 1e-12) * np.eye(len(design)), np.array([g[n] or 0.0 for n in names]) + ridge * beta)
+            h, g = _newton_sums(rows, beta)
+            step = np.linalg.solve(h + (ridge + 1e-12) * np.eye(len(design)), g + ridge * beta)
             beta = beta - step
             if np.abs(step).max() < tolerance:
                 break

@@ -12,6 +12,7 @@ from pulsegrid.operators import model, quality, star, stats, study
 from pulsegrid.plans.domain import Domain, sql
 from pulsegrid.plans.registry import register
 from pulsegrid.plans.vitals import _EVENTS, _events, show
+from pulsegrid.session import keep
 from pulsegrid.streaming import state
 
 # ---- model ----
@@ -34,7 +35,7 @@ def _scaling_sql(f: str) -> str:
 @register("ml1_trained_parameters", sql("SELECT feature, round(median, 6) AS median, round(mean, 6) AS mean, round(CASE WHEN scale = 0 THEN 1 ELSE scale END, 6) AS scale, CAST(0 AS DOUBLE) AS gradient FROM (" + " UNION ALL ".join(_scaling_sql(f) for f in MODEL_FEATURES) + ") UNION ALL SELECT 'intercept', NULL, NULL, NULL, 0", "features"))
 def trained_parameters(spark, sf):
     """Imputation and scaling, and the penalised loss's gradient at the coefficients, which the fit makes zero."""
-    rows = _labelled(Domain(spark, sf))
+    rows = keep(_labelled(Domain(spark, sf)))
     fitted = model.train(rows)["parameters"]
     train = rows.where("data_split = 'train'")
     n = {r.y: r.n for r in train.groupBy(F.col("deterioration_proxy_label").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -59,7 +60,7 @@ def _outcome(call) -> str:
 
 @register("ml2_dataset_contract", "SELECT * FROM (VALUES ('whole', 'accepted'), ('without a column', 'training dataset is missing columns: patient_key'), ('empty', 'training dataset is empty'), ('one split', 'training dataset must contain only train and test partitions'), ('two versions', 'training dataset must contain one feature schema version and one label definition version')) AS t(dataset, outcome)")
 def dataset_contract(spark, sf):
-    rows = _labelled(Domain(spark, sf))
+    rows = keep(_labelled(Domain(spark, sf)))
     first = F.col("encounter_key") < "8"
     cases = {"whole": rows, "without a column": rows.drop("patient_key"), "empty": rows.where("false"), "one split": rows.where("data_split = 'train'"), "two versions": rows.withColumn("feature_schema_version", F.when(first, "f").otherwise("g"))}
     return spark.createDataFrame([(name, _outcome(lambda df=df: model.validate_training(df))) for name, df in cases.items()], "dataset string, outcome string")
@@ -67,7 +68,7 @@ def dataset_contract(spark, sf):
 
 @register("ml3_manifest", sql(f"SELECT 'logistic_regression' AS model_type, count(*) FILTER (split = 'train') AS training_rows, count(*) FILTER (split = 'test') AS test_rows, count(*) FILTER (split = 'train' AND y = 0) AS negatives, count(*) FILTER (split = 'train' AND y = 1) AS positives, true AS version_follows, true AS order_free FROM {_LABELLED}", "features"))
 def manifest(spark, sf):
-    rows = _labelled(Domain(spark, sf))
+    rows = keep(_labelled(Domain(spark, sf)))
     m = model.train(rows)["manifest"]
     again = quality.table_fingerprint(rows.select(*model.REQUIRED).orderBy(F.desc("encounter_key"))).first().fingerprint
     held = (m["model_type"], m["training_row_count"], m["test_row_count"], m["training_class_counts"]["0"], m["training_class_counts"]["1"], m["model_version"] == f"logistic-{m['dataset_fingerprint'][:12]}", m["dataset_fingerprint"] == again)
