@@ -260,6 +260,5 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, id_col: str = "doc_id", t
     span = max([1, *histogram.values()]) + 1
     ranked = _ranked(cut, "length", order, histogram | {size: full}).drop("row")
     whole = ranked.where(F.col("length") == size).withColumns({"sequence_id": F.col("rank"), "offset": F.lit(0).cast("long")}).drop("rank")
-    if not histogram:
-        return whole
-    return whole.unionByName(_placed(ranked.where(F.col("length") < size), at, full, span))
+    out = whole.unionByName(_placed(ranked.where(F.col("length") < size), at, full, span)) if histogram else whole
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
