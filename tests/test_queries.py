@@ -8,7 +8,7 @@ from pulsegrid.plans import clinical, modelling, registry, storage, vitals  # no
 from tests.compare import differ, duck
 
 SF = "/root/testdata/sf0.001"
-MAY_BE_EMPTY = {"join14_overlapping_versions", "dq4_split_leakage", "dq4_inconsistent_versions", "agg23_health_gate"}
+MAY_BE_EMPTY = {"dq4_split_group_leakage", "join14_overlapping_versions", "dq4_split_leakage", "dq4_inconsistent_versions", "agg23_health_gate"}
 
 
 @pytest.fixture(scope="module")
