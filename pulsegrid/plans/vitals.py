@@ -11,6 +11,7 @@ from pulsegrid.operators import access, dashboards, ingest, quality, ranking, sc
 from pulsegrid.operators import features as feats
 from pulsegrid.plans.domain import CONFIG, SQL_STAMP, STAMP, Domain, sql
 from pulsegrid.plans.registry import register
+from pulsegrid.session import keep
 from pulsegrid.streaming import state
 
 _TIMES = {"effective_datetime", "received_at", "encounter_start_at", "encounter_end_at", "feature_cutoff_at", "outcome_cutoff_at", "scored_at_ts", "admitted_at", "discharged_at", "hour_start", "time", "latest_measured", "latest_received"}
@@ -167,7 +168,7 @@ def dim_patient(spark, sf):
 def star_join(spark, sf):
     d = Domain(spark, sf)
     dims = {"patient_key": star.dim_patient(d.staged), "encounter_key": d.encounters, "observation_type_key": star.dim_observation_type(d.staged), "date_key": star.dim_date(d.staged), "provider_version_key": d.providers}
-    joined = star.star_join(d.facts, dims, CONFIG)
+    joined = star.star_join(d.facts, {key: keep(dim) for key, dim in dims.items()}, CONFIG)  # dimensions are tables
     return joined.select("fact_observation_key", "patient_reference", "encounter_reference", "code_system", "month_name", "provider_name")
 
 
