@@ -33,6 +33,9 @@ SEED = 5
 #: Shingles whose min-hashes are computed at once, and words whose hashes a worker remembers.
 STEP = 1 << 15
 REMEMBERED = 400_000
+#: Words of texts that are scanned together, and bits of the table that tells most keys from known ones.
+GROUP_WORDS = 1 << 17
+SLOT_BITS = 18
 
 # Names, notices and opening passages of licenses, by license and form.
 TEMPLATES = {
@@ -173,12 +176,15 @@ class _Words(dict):
 _WORDS = _Words()
 
 
-def shingles(parts: list[bytes], size: int = SHINGLE_WORDS) -> np.ndarray:
+def hashes_of(parts: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_WORDS.__getitem__, parts), np.uint64, len(parts))
+
+
+def shingles(own: np.ndarray, size: int = SHINGLE_WORDS) -> np.ndarray:
     """Hashes of all runs of size words, repeats included: sums of the words' hashes times powers of an odd number, mixed."""
-    if len(parts) < size:
+    n = len(own) - size + 1
+    if n <= 0:
         return np.empty(0, np.uint64)
-    own = np.fromiter(map(_WORDS.__getitem__, parts), np.uint64, len(parts))
-    n = len(parts) - size + 1
     out = np.zeros(n, np.uint64)
     for k in range(size):
         out *= np.uint64(0x9E3779B97F4A7C15)
@@ -193,28 +199,35 @@ def _factors() -> np.ndarray:
     return np.random.default_rng(SEED).integers(0, 1 << 31, (BANDS, ROWS, 2), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
-def band_keys(hashes: np.ndarray, windows: list[tuple[int, int]]) -> list[np.ndarray]:
+def band_keys(hashes: np.ndarray, windows: list[tuple[int, int]], filler: np.ndarray | None = None) -> list[np.ndarray]:
     """For each (size, stride), sizes being rising powers of two: (BANDS, windows) keys of its windows.
 
-    Min-hashes have 32 bits; a band's key holds those of its two rows.
+    Min-hashes have 32 bits; a band's key holds those of its two rows. filler marks places that no min-hash takes.
     """
     low = (hashes >> np.uint64(32)).astype(np.uint32) ^ hashes.astype(np.uint32)
     counts = [max(0, (len(low) - size) // stride + 1) for size, stride in windows]
     out = [np.zeros((BANDS, n), np.uint64) for n in counts]
-    for band, row in np.ndindex(BANDS, ROWS):
-        mul, add = _factors()[band, row]
-        x = low * mul
-        x ^= x >> np.uint32(15)
-        x *= add
-        width = 1
-        for (size, stride), keys, n in zip(windows, out, counts, strict=True):
-            while width < size and n:  # minima over windows, doubled until they are as long as wanted
-                x = np.minimum(x[: len(x) - width], x[width:])
-                width *= 2
-            keys[band] = (keys[band] << np.uint64(32)) | x[::stride][:n]
+    for band in range(BANDS):
+        for row in range(ROWS):
+            mul, add = _factors()[band, row]
+            x = low * mul
+            x ^= x >> np.uint32(15)
+            x *= add
+            if filler is not None:
+                x[filler] = 0xFFFFFFFF
+            width = 1
+            for (size, stride), keys, n in zip(windows, out, counts, strict=True):
+                while width < size and n:  # minima over windows, doubled until they are as long as wanted
+                    x = np.minimum(x[: len(x) - width], x[width:])
+                    width *= 2
+                keys[band] = (keys[band] << np.uint64(32)) | x[::stride][:n]
     return out
 
 
+def _slots(keys: np.ndarray) -> np.ndarray:
+    return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
+
+
 class Scanner:
     """The index of the templates; finds their places in texts."""
 
@@ -226,34 +239,47 @@ class Scanner:
             raise ValueError(f"a template needs {SHORT_WORDS} words or more")
         self.lengths = [len(p) for p in parts]
         self.sizes = [SHINGLE_WORDS if n >= LONG_WORDS else SHORT_WORDS for n in self.lengths]
-        self.sets = [np.unique(shingles(p, size)) for p, size in zip(parts, self.sizes, strict=True)]
+        self.sets = [np.unique(shingles(hashes_of(p), size)) for p, size in zip(parts, self.sizes, strict=True)]
         self.tables: dict[int, list[dict[int, set[int]]]] = {size: [defaultdict(set) for _ in w] for size, w in WINDOWS.items()}
         for i, (p, size) in enumerate(zip(parts, self.sizes, strict=True)):
-            runs = shingles(p, size)
+            runs = shingles(hashes_of(p), size)
             at = max(w for w, (_, _, least) in enumerate(WINDOWS[size]) if len(runs) >= least)
             for key in band_keys(runs, [(WINDOWS[size][at][0], 1)])[0].ravel().tolist():
                 self.tables[size][at][key].add(i)
-        self.sorted = {size: [np.array(sorted(t), np.uint64) for t in tables] for size, tables in self.tables.items()}
-
-    def _known(self, size: int, at: int, keys: np.ndarray) -> np.ndarray:
-        known = self.sorted[size][at]
-        if not len(known) or not keys.size:
-            return np.zeros(keys.shape, bool)
-        return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
-
-    def candidates(self, runs: np.ndarray, size: int = SHINGLE_WORDS) -> dict[int, list[int]]:
-        """The shingles where windows start that collide with each template, of templates with shingles of that size."""
-        found: dict[int, set[int]] = defaultdict(set)
-        used = [w for w in range(len(WINDOWS[size])) if len(self.sorted[size][w])]
-        longest = max((WINDOWS[size][w][0] for w in used), default=1)
-        for first in range(0, len(runs) if used else 0, STEP):  # a multiple of all strides
-            part = runs[first : first + STEP + longest - 1]
-            for w, keys in zip(used, band_keys(part, [WINDOWS[size][w][:2] for w in used]), strict=True):
-                bands, at = np.nonzero(self._known(size, w, keys))
+        #: Which slots of a small table hold a known key; most keys fall into none.
+        self.slots = {size: [np.zeros(1 << SLOT_BITS, bool) for _ in tables] for size, tables in self.tables.items()}
+        for size, tables in self.tables.items():
+            for slots, table in zip(self.slots[size], tables, strict=True):
+                slots[_slots(np.array(list(table), np.uint64))] = True
+
+    def candidates(self, texts: list[np.ndarray], size: int = SHINGLE_WORDS) -> list[dict[int, list[int]]]:
+        """Of each text, given as its shingles: where windows start that collide with each template with shingles of that size.
+
+        Texts are put together with filler between them, so that no window spans two and each starts where windows do.
+        """
+        found: list[dict[int, set[int]]] = [defaultdict(set) for _ in texts]
+        used = [w for w in range(len(WINDOWS[size])) if self.tables[size][w]]
+        if not used:
+            return [{} for _ in texts]
+        longest, grid = max(WINDOWS[size][w][0] for w in used), max(stride for _, stride, _ in WINDOWS[size])
+        lengths = np.array([len(t) for t in texts])
+        rooms = -(-(lengths + longest) // grid) * grid
+        starts = np.cumsum(rooms) - rooms
+        whole, filler = np.zeros(int(rooms.sum()), np.uint64), np.ones(int(rooms.sum()), bool)
+        for t, at in zip(texts, starts.tolist(), strict=True):
+            whole[at : at + len(t)] = t
+            filler[at : at + len(t)] = False
+        for first in range(0, len(whole), STEP):  # a multiple of all strides
+            part = slice(first, first + STEP + longest - 1)
+            for w, keys in zip(used, band_keys(whole[part], [WINDOWS[size][w][:2] for w in used], filler[part]), strict=True):
+                bands, at = np.nonzero(self.slots[size][w][_slots(keys)])
+                table, stride = self.tables[size][w], WINDOWS[size][w][1]
                 for band, k in zip(bands.tolist(), at.tolist(), strict=True):
-                    for i in self.tables[size][w][int(keys[band, k])]:
-                        found[i].add(first + k * WINDOWS[size][w][1])
-        return {i: sorted(starts) for i, starts in found.items()}
+                    for i in table.get(int(keys[band, k]), ()):
+                        place = first + k * stride
+                        text = int(np.searchsorted(starts, place, "right")) - 1
+                        found[text][i].add(place - int(starts[text]))
+        return [{i: sorted(s) for i, s in f.items()} for f in found]
 
     def verified(self, runs: np.ndarray, i: int, starts: list[int] | None) -> list[tuple[str, float, int, int]]:
         """The places of a template that hold enough of its shingles, near a start; everywhere where starts is none."""
@@ -268,31 +294,52 @@ class Scanner:
                 out.append((self.names[i], round(share, 6), int(place[0]), int(place[-1]) + size))
         return out
 
-    def scan(self, text: str | None, exhaustive: bool = False) -> list[tuple[str, float, int, int]]:
-        """(name, containment, first word, end word) of each verified place, by place.
+    def many(self, texts: list[str | None], exhaustive: bool = False) -> list[list[tuple[str, float, int, int]]]:
+        """(name, containment, first word, end word) of each verified place of each text, by place.
 
         exhaustive: verifies every template everywhere, without retrieval; for tests.
         """
-        parts = words(text)
-        out = []
+        out: list[list[tuple[str, float, int, int]]] = []
+        group: list[np.ndarray] = []
+        room = GROUP_WORDS
+        for text in texts:
+            group.append(hashes_of(words(text)))
+            room -= len(group[-1])
+            if room <= 0:
+                out += self._group(group, exhaustive)
+                group, room = [], GROUP_WORDS
+        return out + self._group(group, exhaustive)
+
+    def scan(self, text: str | None, exhaustive: bool = False) -> list[tuple[str, float, int, int]]:
+        return self.many([text], exhaustive)[0]
+
+    def _group(self, group: list[np.ndarray], exhaustive: bool) -> list[list[tuple[str, float, int, int]]]:
+        out: list[list[tuple[str, float, int, int]]] = [[] for _ in group]
         for size in WINDOWS:
-            runs = shingles(parts, size)
-            asked = {i: None for i, s in enumerate(self.sizes) if s == size} if exhaustive else self.candidates(runs, size)
-            for i, starts in asked.items():
-                out += self.verified(runs, i, starts)
-        widest: dict[str, list[tuple[str, float, int, int]]] = defaultdict(list)
-        for row in sorted(out, key=lambda r: (r[2], -r[3], r[0])):  # what lies in a place comes after it
-            kept = widest[row[0].split(":")[0]]
-            if not kept or row[3] > kept[-1][3]:
-                kept.append(row)
-        return sorted((r for kept in widest.values() for r in kept), key=lambda r: (r[2], r[3], r[0]))
+            runs = [shingles(own, size) for own in group]
+            every = {i: None for i, s in enumerate(self.sizes) if s == size}
+            asked = [every] * len(runs) if exhaustive else self.candidates(runs, size)
+            for rows, own, found in zip(out, runs, asked, strict=True):
+                for i, starts in found.items():
+                    rows += self.verified(own, i, starts)
+        return [_widest(rows) for rows in out]
+
+
+def _widest(rows: list[tuple[str, float, int, int]]) -> list[tuple[str, float, int, int]]:
+    """The rows without those of a license that lie in another one of it."""
+    widest: dict[str, list[tuple[str, float, int, int]]] = defaultdict(list)
+    for row in sorted(rows, key=lambda r: (r[2], -r[3], r[0])):  # what lies in a place comes after it
+        kept = widest[row[0].split(":")[0]]
+        if not kept or row[3] > kept[-1][3]:
+            kept.append(row)
+    return sorted((r for kept in widest.values() for r in kept), key=lambda r: (r[2], r[3], r[0]))
 
 
 def _scan(templates: dict[str, str] | None):
     scanner = Scanner(templates)
 
     def step(ids: list, texts: list) -> list[tuple]:
-        return [(i, name.split(":")[0], name.partition(":")[2] or None, *rest) for i, text in zip(ids, texts, strict=True) for name, *rest in scanner.scan(text)]
+        return [(i, name.split(":")[0], name.partition(":")[2] or None, *rest) for i, found in zip(ids, scanner.many(texts), strict=True) for name, *rest in found]
 
     return step
 
