@@ -168,7 +168,8 @@ def dim_patient(spark, sf):
 def star_join(spark, sf):
     d = Domain(spark, sf)
     dims = {"patient_key": star.dim_patient(d.staged), "encounter_key": d.encounters, "observation_type_key": star.dim_observation_type(d.staged), "date_key": star.dim_date(d.staged), "provider_version_key": d.providers}
-    joined = star.star_join(d.facts, {key: keep(dim) for key, dim in dims.items()}, CONFIG)  # dimensions are tables
+    derived = ("patient_key", "observation_type_key", "date_key")  # tables of their own, read for their size and for the join
+    joined = star.star_join(d.facts, {key: keep(dim) if key in derived else dim for key, dim in dims.items()}, CONFIG)
     return joined.select("fact_observation_key", "patient_reference", "encounter_reference", "code_system", "month_name", "provider_name")
 
 
